@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.times import ntz_of, parse_micros
 from lodestrata.operators.intervals import statement_periods
+from lodestrata.operators.multivalue import split_values
 from lodestrata.operators.orphans import orphan_references, store_references
-from lodestrata.sources.tables import table
+from lodestrata.sources.tables import latest, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +45,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_references(refs, parents, removals)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = latest(table(spark, sf_dir, "facts", "id", "tags", "updated_at"), "id", "updated_at")
+    notes = latest(table(spark, sf_dir, "notes_meta", "note_id", "tags"), "note_id")
+    rows = facts.select(F.lit("facts").alias("src"), F.col("id").alias("rec_id"), "tags").unionByName(
+        notes.select(F.lit("notes_meta").alias("src"), F.col("note_id").alias("rec_id"), "tags")
+    )
+    return split_values(rows, ["src", "rec_id"], "tags")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
 
 
 def _micros_sql(col: str) -> str:
