@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed: what separates two values. A blank before '#' does so too.
 DELIMITERS = ",;|\n\r\t\u3001\uff0c\uff1b"
@@ -180,7 +181,7 @@ def split_values(df: DataFrame, keys: list[str], column: str, min_count: int = 3
     rows = rows.withColumn("hits", F.array().cast("array<int>"))
     for block in _blocks(known_values(rows, "text", min_count), max_block_bytes):
         rows = rows.mapInPandas(_find(block), rows.schema)
-    out = rows.mapInPandas(_cover(names), schema[: len(names)].add("pos", "bigint").add("tag", "string"))
+    out = rows.mapInPandas(_cover(names), T.StructType([*schema.fields[: len(names)], T.StructField("pos", T.LongType()), T.StructField("tag", T.StringType())]))
     return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "pos", "tag")
 
 
