@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestrata.llm.format_duplicates import format_duplicates
+from lodestrata.llm.leakage import leaked_items
+from lodestrata.llm.tokenize import token_ids
 from lodestrata.sources.tables import table
 
 
@@ -14,8 +15,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("id <> keep_id").select("keep_id", "id")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaked_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
+    return found.select("doc_id", "item_id")
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found}
+    return {"p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict:
