@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestrata.llm.format_duplicates import format_duplicates
 from lodestrata.llm.leakage import leaked_items
+from lodestrata.llm.personal import find_personal
 from lodestrata.llm.tokenize import token_ids
-from lodestrata.sources.tables import table
+from lodestrata.sources.tables import latest, table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("id <> keep_id").select("keep_id", "id")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = latest(table(spark, sf_dir, "facts", "id", "content", "updated_at"), "id", "updated_at")
+    episodes = latest(table(spark, sf_dir, "episodes", "episode_id", "summary", "created_at"), "episode_id", "created_at")
+    return facts.select(F.lit("facts").alias("src"), F.col("id").alias("rec_id"), F.col("content").alias("text")).unionByName(
+        episodes.select(F.lit("episodes").alias("src"), F.col("episode_id").alias("rec_id"), F.col("summary").alias("text"))
+    )
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal(_texts(spark, sf_dir))
+    return found.select("src", "rec_id", F.explode(F.array_distinct("found.type")).alias("pii_type"))
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(_texts(spark, sf_dir)).select("src", "rec_id", F.col("redacted").alias("text"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -25,7 +44,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict:
