@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.format_duplicates import format_duplicates
 from lodestrata.llm.leakage import leaked_items
 from lodestrata.llm.personal import find_personal
+from lodestrata.llm.subjects import assign_subjects
 from lodestrata.llm.tokenize import token_ids
 from lodestrata.sources.tables import latest, table
 
@@ -43,8 +44,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_subjects(
+        table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "doc_labels", "doc_id", "subject"), table(spark, sf_dir, "subjects", "subject", "label")
+    )
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict:
