@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import general
+from lodestrata.plans import general, links, records, search, texts
 
-MODULES = (general,)
+MODULES = (general, records.Q, links.Q, texts.Q, search.Q)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return general.p1_found(spark, sf_dir)
+    return search.recall_relevance(spark, sf_dir)
