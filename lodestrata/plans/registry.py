@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import general, links, records, search, texts
+from lodestrata.plans import general, links, records, search, streams, texts
 
-MODULES = (general, records.Q, links.Q, texts.Q, search.Q)
+MODULES = (general, records.Q, links.Q, texts.Q, search.Q, streams.Q)
 
 
 def queries() -> dict:

@@ -165,7 +165,7 @@ def progressive_disclosure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @Q.add(
-    f"""SELECT id, round(coalesce(exp(-ln(2) / 30 * greatest(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_accessed), 0) / 86400000000.0), 1.0), 6) AS decay, round(1 + 0.1 * least(coalesce(access_count, 0), 10), 6) AS boost FROM f""", "f"
+    f"""SELECT id, round(coalesce(exp(-ln(2) / 30 * greatest(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_accessed), 0) / 86400000000.0), 1.0), 6) AS decay, round(CAST(1 + 0.1 * least(coalesce(access_count, 0), 10) AS DOUBLE), 6) AS boost FROM f""", "f"
 )
 def decay_boost(spark: SparkSession, sf: str) -> DataFrame:
     f = facts(spark, sf, "last_accessed", "access_count")
