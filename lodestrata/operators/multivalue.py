@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -213,8 +214,9 @@ def _cover(names: list[str]):
             found = [
                 segments(text, list(zip(hits[::2], hits[1::2]))) for text, hits in zip(pdf["text"], pdf["hits"])
             ]
-            out = pdf[names].assign(tag=found)
-            out["pos"] = [list(range(1, len(x) + 1)) for x in found]
-            yield out[out["tag"].map(len) > 0].explode(["pos", "tag"])[[*names, "pos", "tag"]]
+            out = pdf[names].iloc[[i for i, x in enumerate(found) for _ in x]].reset_index(drop=True)
+            out["pos"] = np.array([n for x in found for n in range(1, len(x) + 1)], np.int64)
+            out["tag"] = pd.Series([v for x in found for v in x], dtype=object)
+            yield out
 
     return run

@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.functions.frames import frame
+
 #: Keys a range is sized for, and bits in one bitmap of the built-in bitmap functions. A fuller range uses several.
 KEYS_PER_RANGE = 16_384
 BITS = 32_768
+SURVIVOR = "space string, ref_key string, month int"
 
 
 def _pack(bitmaps: pd.Series) -> pd.Series:
@@ -42,9 +45,9 @@ def _surviving(key: tuple, words: pd.DataFrame, maps: pd.DataFrame) -> pd.DataFr
             else:
                 there = there | bits
     if not found:
-        return pd.DataFrame({"space": [], "ref_key": [], "month": []})
+        return frame([], SURVIVOR)
     hits = pd.concat(found).merge(words, on="pos")
-    return hits[["space", "ref_key", "month"]]
+    return frame(list(zip(hits["space"], hits["ref_key"], hits["month"])), SURVIVOR)
 
 
 def missing_keys(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS_PER_RANGE) -> DataFrame:
@@ -84,7 +87,7 @@ def missing_keys(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS
     out = (
         words.groupBy("key_range")
         .cogroup(bitmaps.groupBy("key_range"))
-        .applyInPandas(_surviving, "space string, ref_key string, month int")
+        .applyInPandas(_surviving, SURVIVOR)
     )
     return out.withColumn("month", F.when(F.col("month") == 10**6, -1).otherwise(F.col("month")))
 
