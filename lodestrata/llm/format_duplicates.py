@@ -21,7 +21,8 @@ _SEPARATORS = (";", r"\|", r"\r?\n", ",")
 
 def words(text: Column) -> Column:
     """Words joined by blanks: runs of letters and digits of any script, letter case aside."""
-    return F.array_join(F.regexp_extract_all(F.lower(F.upper(text)), F.lit(r"[\p{L}\p{N}]+"), 0), " ")
+    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))  # its upper case is SS
+    return F.array_join(F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), 0), " ")
 
 
 def fields(text: Column) -> Column:

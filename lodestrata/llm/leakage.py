@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.frames import frame
+
 _WORD = re.compile(r"[^\W_]+")
 #: Words in one suffix array, and evaluation words passed to a task at once.
 SHARD_WORDS, BLOCK_WORDS = 1_000_000, 200_000
@@ -131,7 +133,7 @@ def leaked_items(
 
             def flush() -> pd.DataFrame:
                 rows = [(ids[i], item, n) for i, item, n in probes.search(shard)]
-                return pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words"])
+                return frame(rows, schema)
 
             for pdf in batches:
                 for doc_id, text in zip(pdf["doc_id"], pdf["text"]):

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.frames import frame
 from lodestrata.llm.skew import join_hot_aside
 
 #: Fixed: the tokenizer's pattern of pieces for byte_bpe_50k.
@@ -83,7 +84,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 key.append(blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 chunk.append(piece)
                 a = b
-        yield pd.DataFrame({"doc_id": doc, "digest": digest, "seq": seq, "key": key, "chunk": chunk})
+        yield frame(list(zip(doc, digest, seq, key, chunk)), "doc_id bigint, digest binary, seq int, key binary, chunk string")
 
 
 def encode_chunk(enc, chunk: str) -> tuple[str, list[int] | None, str]:
