@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,8 +40,11 @@ def fused(lexical: DataFrame, semantic: DataFrame, key: str, lexical_share: floa
 
 def budgeted(df: DataFrame, by: list[str], order: list[Column], text: str, budget: int, least: int = 100) -> DataFrame:
     """The first rows of each group whose texts fit into `budget` characters; the first that doesn't is cut if at
-    least `least` characters are left for it, and the group ends there."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    least `least` characters are left for it, and the group ends there. Empty texts are left out."""
+    ordered = W.partitionBy(*by).orderBy(*order)
+    w = ordered.rowsBetween(W.unboundedPreceding, -1)
+    # every text takes a character at least, so rows beyond the budget are cut off before the shuffle
+    df = df.where(F.length(text) > 0).withColumn("_n", F.row_number().over(ordered)).where(F.col("_n") <= budget + 1).drop("_n")
     used = F.coalesce(F.sum(F.length(text)).over(w), F.lit(0))
     room = F.lit(budget) - F.col("_used")
     fits = F.length(text) <= room
@@ -53,8 +58,11 @@ def budgeted(df: DataFrame, by: list[str], order: list[Column], text: str, budge
 
 def disclosed(df: DataFrame, by: list[str], score: str, order: list[Column], tiers: tuple = ((0.7, 2), (0.4, 3)), rest: int = 5) -> DataFrame:
     """Fewer rows the better the best one is: the first two at a top score of 0.7, three at 0.4, else five."""
-    w = W.partitionBy(*by)
     cap = F.lit(rest)
     for limit, most in reversed(tiers):
-        cap = F.when(F.max(score).over(w) >= limit, most).otherwise(cap)
-    return df.withColumn("_cap", cap).withColumn("_n", F.row_number().over(w.orderBy(*order))).where("_n <= _cap").drop("_cap", "_n")
+        cap = F.when(F.col("_top") >= limit, most).otherwise(cap)
+    # a few rows of each group and its maximum: no group is sorted or collected whole
+    few = df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= max(rest, *(m for _, m in tiers)))
+    tops = df.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.max(score).alias("_top"))
+    same = reduce(lambda a, b: a & b, [few[c].eqNullSafe(tops[f"_{c}"]) for c in by])
+    return few.join(tops, same).where(F.col("_n") <= cap).drop("_n", "_top", *[f"_{c}" for c in by])

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import tokens
-from lodestrata.operators import lexical, scoring
+from lodestrata.operators import embed, lexical, retrieval, scoring
 from lodestrata.operators import vectors as vec
-from lodestrata.plans.base import AS_OF, Queries, facts, notes, triples, vectors
+from lodestrata.operators.graph import both_ways
+from lodestrata.plans.base import AS_OF, Queries, edges, facts, notes, triples, vectors
 from lodestrata.sources.tables import table
 
 Q = Queries()
@@ -144,7 +145,7 @@ def hybrid_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @Q.add(
-    """, w AS (SELECT id, domain, content, coalesce(sum(length(content)) OVER (PARTITION BY domain ORDER BY importance DESC NULLS LAST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM f WHERE content IS NOT NULL)
+    """, w AS (SELECT id, domain, content, coalesce(sum(length(content)) OVER (PARTITION BY domain ORDER BY importance DESC NULLS LAST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM f WHERE content <> '')
 SELECT id, domain, CASE WHEN used + length(content) <= 1500 THEN content ELSE left(content, CAST(1500 - used AS INTEGER)) END AS content FROM w WHERE used + length(content) <= 1500 OR (1500 - used >= 100 AND used <= 1500)""",
     "f",
 )
@@ -181,3 +182,42 @@ def top_terms(spark: SparkSession, sf: str) -> DataFrame:
     f = facts(spark, sf, "content").where("content IS NOT NULL").select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("term"))
     top = f.groupBy("term").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "term").limit(100)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("docs"), "term")))
+
+
+@Q.add(
+    _BM25
+    + f""", {_CENTRE}, l AS (SELECT id, round(score, 6) AS score FROM b ORDER BY round(score, 6) DESC, id LIMIT 40)
+SELECT l.id, round(coalesce(list_cosine_similarity(e, q), 0.0), 5) AS score, CAST(row_number() OVER (ORDER BY round(coalesce(list_cosine_similarity(e, q), 0.0), 5) DESC, l.id) AS INTEGER) AS rank FROM l CROSS JOIN c LEFT JOIN vv ON vv.fid = l.id""",
+    "fv",
+)
+def semantic_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    f = facts(spark, sf, "content", "domain")
+    hits = lexical.bm25(f.where("content IS NOT NULL"), "id", F.col("content"), TERMS)
+    top = hits.select(F.col("doc").alias("id"), F.round("score", 6).alias("s")).orderBy(F.desc("s"), "id").limit(40)
+    v = vectors(spark, sf, "vector").where("size(vector) > 0").select("fact_id", "vector")
+    centre = _centre(v, f.select("id", "domain"), "Finance")
+    own = v.join(F.broadcast(top.select("id")), F.col("fact_id") == F.col("id")).crossJoin(F.broadcast(centre))
+    own = own.select("id", F.round(vec.cosine(F.col("vector"), F.col("q")), 5).alias("score"))
+    ranked = top.select("id").join(own, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    # forty rows
+    return ranked.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
+
+
+@Q.add()
+def composed_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes by their words, expanded along links, with a snippet."""
+    n = notes(spark, sf, "title", "tags", "body_preview")
+    hits = lexical.bm25(n, "note_id", F.concat_ws(" ", "title", "tags", "body_preview"), ["retention", "window"])
+    hits = hits.select(F.col("doc").alias("id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(40)
+    g = edges(spark, sf, "source_id", "target_id", "kind", "weight").where("kind = 'wikilink' AND source_id IS NOT NULL AND target_id IS NOT NULL")
+    links = both_ways(g.select(F.trim("source_id").alias("s"), F.trim("target_id").alias("t"), "weight"), "s", "t", "weight")
+    found = retrieval.expanded(hits, links).orderBy(F.desc("score"), "id").limit(20)
+    shown = retrieval.snippet(F.coalesce("body_preview", F.lit("")), "retention")
+    return n.join(F.broadcast(found), n["note_id"] == found["id"]).select("id", "score", "via", shown.alias("snippet"))
+
+
+@Q.add()
+def embedding_rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fact embedded anew by the stand-in embedder, and the share that has a vector then."""
+    f = facts(spark, sf, "content")
+    return embed.coverage(f, "id", embed.embedded(f, "id", "content"))

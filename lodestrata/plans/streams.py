@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.operators import extract
 from lodestrata.plans.base import Queries, audit
+from lodestrata.sources.tables import table
 from lodestrata.streaming import jobs
 
 Q = Queries()
@@ -45,3 +47,11 @@ def stream_injected_facts(spark: SparkSession, sf: str) -> DataFrame:
     stream = jobs.follow(spark, sf, "audit_log", "id", "session_id", "fact_id").where("session_id <> '' AND fact_id <> ''")
     stream = stream.select("session_id", F.lower(F.trim("fact_id")).alias("fact_id"), F.col("id").alias("turn"))
     return jobs.run_available(jobs.to_inject(stream))
+
+
+@Q.add()
+def stream_preferences(spark: SparkSession, sf: str) -> DataFrame:
+    """Preferences in arriving facts, each once, without those already stored."""
+    stream = jobs.follow(spark, sf, "facts", "id", "content").where("content IS NOT NULL")
+    found = extract.preferences_in(stream, "id", F.col("content"))
+    return extract.unknown(jobs.run_available(found), table(spark, sf, "facts", "id"))

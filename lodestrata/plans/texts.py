@@ -185,3 +185,12 @@ def context_queries(spark: SparkSession, sf: str) -> DataFrame:
 @Q.add("SELECT id, sha256(regexp_replace(lower(content), '[^\\p{L}\\p{N}]', '', 'g')) AS key FROM f WHERE content IS NOT NULL", "f")
 def parity_keys(spark: SparkSession, sf: str) -> DataFrame:
     return facts(spark, sf, "content").where("content IS NOT NULL").select("id", tx.parity_key(F.col("content")).alias("key"))
+
+
+@Q.add()
+def unknown_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """(entity, docs): capitalised names in documents that no note has as its title."""
+    d = _docs(spark, sf).where("text IS NOT NULL")
+    found = d.select("doc_id", F.explode(tx.capitalised_entities(F.col("text"), ["The", "This", "That"], 1000)).alias("entity"))
+    titles = notes(spark, sf, "title").select(F.regexp_replace("title", " [0-9]+$", "").alias("entity")).where("entity IS NOT NULL").distinct()
+    return found.groupBy("entity").agg(F.count(F.lit(1)).alias("docs")).join(titles, "entity", "left_anti")

@@ -180,3 +180,18 @@ def test_sinks(spark, tmp_path):
     assert [r.t for r in sinks.decrypted(sinks.encrypted(df, ["t"], key), ["t"], key).orderBy("id").collect()] == ["A title", "A title", None]
     sinks.append_audit(spark.createDataFrame([(dt.datetime(2025, 1, 1), "x" * 3000)], "ts timestamp_ntz, detail string"), str(tmp_path / "audit"))
     assert len(spark.read.parquet(str(tmp_path / "audit")).first().detail) == 2000
+
+
+def test_expansion_snippets_and_embedding(spark):
+    from lodestrata.operators import embed, retrieval
+
+    hits = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "id string, score double")
+    links = spark.createDataFrame([("a", "c", 3), ("a", "b", 1), ("b", "d", 1)], "node string, other string, weight int")
+    got = {r.id: (r.score, r.via) for r in retrieval.expanded(hits, links, seeds=1, per_seed=2).collect()}
+    assert got == {"a": (2.0, ""), "b": (1.0, ""), "c": (0.5, "a")}
+    df = spark.createDataFrame([(1, "red fox"), (2, "fox red"), (3, None), (4, " ")], "id int, t string")
+    v = embed.embedded(df, "id", "t")
+    assert {r.id for r in v.collect()} == {1, 2} and len({tuple(r.vector) for r in v.collect()}) == 1
+    c = embed.coverage(df, "id", v).first()
+    assert (c.total, c.embedded, c.pct) == (4, 2, 50.0)
+    assert df.select(retrieval.snippet(F.col("t"), "fox", 2)).first()[0] == "d fox"
