@@ -101,8 +101,9 @@ def orphan_references(
     is an unknown time and repeated keys count with their earliest known time. removals: space, ref_key.
     `deleted` is an absent key among the removals, `missing` any other absent key, `late` a key whose parent was
     created after the reference; an unknown time on either side is never late. Null keys are no references.
-    References delivered twice come out once. Empty tables give no rows.
+    References delivered twice come out once. Empty tables give no rows. Other columns are ignored.
     """
+    refs = refs.select("src", "src_key", "space", "ref_key", "created_at")
     known = parents.where("ref_key IS NOT NULL").groupBy("space", "ref_key").agg(
         F.min("created_at").alias("parent_at"), F.max(F.col("created_at").isNull()).alias("undated")
     )

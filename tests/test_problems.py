@@ -94,8 +94,9 @@ def test_orphans_equal_brute_force(spark, per_range):
     parents = [(rng.choice("nf"), key(), day()) for _ in range(60)]
     gone = {(rng.choice("nf"), f"k{i}") for i in range(0, 60, 4)}
     got = orphan_references(
-        spark.createDataFrame(refs, REF), spark.createDataFrame(parents, PARENT), spark.createDataFrame(sorted(gone), GONE), keys_per_range=per_range
+        spark.createDataFrame([(*r, 1, "x") for r in refs], REF + ", salt int, reason string"), spark.createDataFrame(parents, PARENT), spark.createDataFrame(sorted(gone), GONE), keys_per_range=per_range
     )
+    assert set(got.columns) == {"src", "src_key", "ref_id", "reason", "ref_month"}
     found = [tuple(r) for r in got.select("src", "src_key", "ref_id", "reason", "ref_month").collect()]
     assert len(found) == len(set(found)) and set(found) == brute_orphans(refs, parents, gone)
 
