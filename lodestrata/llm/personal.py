@@ -27,7 +27,7 @@ SAMPLE_ROWS, EPOCHS, PER_WORDING = 40_000, 6, 8
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _EMAIL = re.compile(
-    r"[\w.+\-]*\w(?:@|\s?[\[(](?:at|a)[\])]\s?|\sat\s)\w[\w\-]*(?:(?:\.|\s?[\[(](?:dot|punkt|point)[\])]\s?|\sdot\s)\w[\w\-]*)+",
+    r"(?<![\w.+\-])[\w.+\-]*\w(?:@|\s?[\[(](?:at|a)[\])]\s?|\sat\s)\w[\w\-]*(?:(?:\.|\s?[\[(](?:dot|punkt|point)[\])]\s?|\sdot\s)\w[\w\-]*)+",
     re.I,
 )
 _NUMBER = re.compile(r"(?<![\w@])(?:\(?\+|\()?\d[\d().\-‑/   ]{4,}\d(?:\s*(?:ext|x)\.?\s*\d+)?|(?<!\w)pn[ \-]?\d{3}[ \-]?\d{2}[ \-]?\d{4}(?!\w)|(?<![\w@])\d{6,15}(?:\s*(?:ext|x)\.?\s*\d+)?", re.I)
@@ -40,7 +40,7 @@ _STREET = re.compile(
     rf"(?:(?:flat|unit|apt\.?|apartment|suite)\s+\d+\w?(?:/|,\s*|\s+))?\d{{1,4}}\s?[a-z]?\s+{_NAMED}\s+{_WAY}(?-i:{_PLACE})"
     rf"|\d{{1,4}}\s?[a-z]?,?\s+(?:rue|avenue|boulevard|place|chemin)\s+(?:des?|du|la|le|l['’])?\s*{_NAMED}(?-i:{_PLACE})"
     rf"|(?:calle|avenida|plaza|paseo)\s+{_NAMED},?\s+\d{{1,4}}[a-z]?(?-i:{_PLACE})"
-    rf"|[^\W\d_]+(?:straße|strasse|weg|platz|allee|gasse)\s+\d{{1,4}}\s?[a-z]?(?!\w)(?-i:{_PLACE})",
+    rf"|(?<![^\W\d_])[^\W\d_]+(?:straße|strasse|weg|platz|allee|gasse)\s+\d{{1,4}}\s?[a-z]?(?!\w)(?-i:{_PLACE})",
     re.I,
 )
 _PARTICLES = {"van", "von", "de", "der", "den", "di", "da", "la", "el", "bin", "al"}
@@ -328,10 +328,11 @@ def sample_texts(records: DataFrame, sample_rows: int = SAMPLE_ROWS, per_wording
 def find_personal(records: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Adds `found` (start, end, type of each entity in order) and `redacted` (the text with placeholders).
 
-    records: any columns with a STRING `text`; null texts give nulls, empty ones themselves. Texts of any length are
+    records: any columns with a STRING `text`; own columns of these two names are replaced; null texts give nulls, empty ones themselves. Texts of any length are
     read whole. An empty table stays empty.
     """
     model = fit(sample_texts(records, sample_rows))
+    records = records.drop("found", "redacted")
     schema = records.select("*").schema.add("found", _FOUND).add("redacted", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

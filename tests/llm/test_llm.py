@@ -147,12 +147,22 @@ def test_personal_information_on_held_out_texts():
 def test_redaction(spark):
     corpus = [(i, t, "x") for i, (t, _) in enumerate(personal_corpus(3, 800))]
     corpus += [(9000, None, "x"), (9001, "", "x"), (9002, "call +44 7700 900123 after six; cc anna_1@post.example.net", "x"), (9003, "plain " * 3000, "x")]
-    got = {r.i: r for r in personal.find_personal(spark.createDataFrame(corpus, "i int, text string, type string")).where("i >= 9000").collect()}
+    got = {r.i: r for r in personal.find_personal(spark.createDataFrame(corpus, "i int, text string, found string")).where("i >= 9000").collect()}
     assert got[9000].redacted is None and got[9001].redacted == "" and got[9003].redacted == "plain " * 3000
     assert got[9002].redacted == "call [PHONE] after six; cc [EMAIL]" and [f.type for f in got[9002].found] == ["phone", "email"]
     assert personal.find_personal(spark.createDataFrame([], "i int, text string")).count() == 0
 
 
+def test_long_words_take_linear_time():
+    import time
+
+    model = personal.fit([t for t, _ in personal_corpus(1, 200)])
+    began = time.time()
+    for text in ("x" * 60_000, "1" * 60_000, "1 " * 30_000, "a.b+" * 15_000, "Ab " * 8_000):
+        model.decode(text)
+    assert time.time() - began < 30
+
+
 def test_sentences():
     text = "---\ntitle: X\ndomain: Law\n---\n# Head\n\nOne here. Two here?\n- Three here!\n1. Four here.\n<p>Five here.</p><h1>Six</h1>\nuser: Seven here.\n\n   \nshort head"
     assert subjects.sentences(text) == ["One here.", "Two here?", "Three here!", "Four here.", "Five here.", "Seven here."]
