@@ -177,3 +177,23 @@ def flattened(pairs: Column) -> Column:
     """'k: v; k: v' of a map, keys sorted, nulls left out."""
     entries = F.filter(F.array_sort(F.map_entries(pairs)), lambda e: e["value"].isNotNull())
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+
+
+def linkified(text: Column, titles: list[str]) -> Column:
+    """Every whole-word mention of a title as [[title]], the longest first, those already linked left alone.
+
+    One pass over the text by one alternation; the titles are a bounded list.
+    """
+    names = "|".join("\\Q" + t + "\\E" for t in sorted(titles, key=lambda t: (-len(t), t)))
+    return F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}\[|])({names})(?![\p{{L}}\p{{N}}\]|])", "[[$1]]") if titles else text
+
+
+def stored_title(title: Column, content: Column) -> Column:
+    """The given title, else the derived one of 80 characters, else 'fact'."""
+    return F.coalesce(F.nullif(F.trim(title), F.lit("")), F.nullif(derived_title(content, 80), F.lit("")), F.lit("fact"))
+
+
+def id_list(json: Column, keys: tuple[str, ...], most: int = 20) -> Column:
+    """ARRAY<STRING> under the first of the keys that a JSON object has, at most `most` ids."""
+    found = F.coalesce(*[F.from_json(F.get_json_object(json, f"$.{k}"), "array<string>") for k in keys], F.array().cast("array<string>"))
+    return F.slice(found, 1, most)

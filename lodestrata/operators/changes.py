@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.privacy import pattern_redacted, tier, write_action
+from lodestrata.functions.text import record_id, sanitized
 from lodestrata.sources.tables import latest
 
 
@@ -66,3 +68,35 @@ def remapped(domain: Column, known: list[str], remap: dict[str, str], default: s
 def with_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds the columns that are missing, null, of the given types; does nothing the second time."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
+
+
+def imported(rows: DataFrame, category: str, name: str, body: str, importance: float = 0.85) -> DataFrame:
+    """(id, content, title, importance, tags, source) of foreign records: '[category] name: body'."""
+    content = F.concat(F.lit("["), F.coalesce(F.col(category), F.lit("misc")), F.lit("] "), F.coalesce(F.col(name), F.lit("")), F.lit(": "), F.coalesce(F.col(body), F.lit("")))
+    tags = F.array_compact(F.array(F.lit("imported"), F.lower(category), F.lower(name)))
+    out = rows.select(content.alias("content"), F.col(name).alias("title"), F.lit(importance).alias("importance"), tags.alias("tags"), F.lit("import").alias("source"))
+    return out.withColumn("id", record_id(F.col("content"))).groupBy("id").agg(*[F.min(c).alias(c) for c in ("content", "title", "importance", "tags", "source")])
+
+
+def remembered(facts: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The write decision on each incoming fact: (id, content, domain, source, tier, action, exists).
+
+    Sanitised, then judged, then redacted unless blocked; the id is the stored content's. `exists` tells an update
+    from an insert. incoming: content, domain, source, sensitivity. Facts given twice come out once.
+    """
+    clean = sanitized(F.col("content"))
+    judged = incoming.where("content IS NOT NULL").select(
+        clean.alias("content"), "domain", "source", tier(F.col("sensitivity"), F.col("domain")).alias("tier"),
+        write_action(clean, F.col("sensitivity"), F.col("domain"), F.col("source")).alias("action"),
+    )
+    stored = F.when(F.col("action") == "block", F.lit(None).cast("string")).otherwise(pattern_redacted(F.col("content")))
+    rows = judged.withColumn("id", record_id(F.coalesce(stored, F.col("content")))).withColumn("content", stored).distinct()
+    known = facts.select("id").distinct().withColumn("exists", F.lit(True))
+    return rows.join(known, "id", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
+def recalled(stored: DataFrame, facts: DataFrame) -> DataFrame:
+    """Adds `found`: whether the table has a fact under the id of the stored content."""
+    ids = facts.select(F.col("id").alias("_id")).distinct()
+    own = stored.withColumn("_own", record_id(F.col("content")))
+    return own.join(ids, F.col("_own") == F.col("_id"), "left").withColumn("found", F.col("_id").isNotNull()).drop("_own", "_id")

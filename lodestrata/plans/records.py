@@ -408,3 +408,25 @@ def episodes_without_facts(spark: SparkSession, sf: str) -> DataFrame:
 def triple_active(spark: SparkSession, sf: str) -> DataFrame:
     t = triples(spark, sf, "subject", "predicate", "object", "valid_from", "valid_until", "confidence", "source")
     return t.where(active(F.col("valid_until")) & (F.col("confidence") >= 0.7) & (F.col("source") == "manual")).select("subject", "predicate", "object", "valid_from", "confidence")
+
+
+@Q.add(
+    """SELECT domain, count(*) AS n, count(*) FILTER (WHERE left(sha256(content), 16) IN (SELECT id FROM f)) AS found FROM f WHERE content IS NOT NULL GROUP BY domain""", "f"
+)
+def self_recall(spark: SparkSession, sf: str) -> DataFrame:
+    f = facts(spark, sf, "content", "domain")
+    checked = changes.recalled(f.where("content IS NOT NULL"), f)
+    return checked.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("found"), 1)).alias("found"))
+
+
+@Q.add()
+def write_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fact as if it came in again: decision, tier, and whether its id is there after redaction."""
+    f = facts(spark, sf, "content", "domain", "source", "sensitivity")
+    decided = changes.remembered(f, f)
+    return decided.groupBy("action", "tier", "exists").agg(F.count(F.lit(1)).alias("n"))
+
+
+@Q.add()
+def imported_notes(spark: SparkSession, sf: str) -> DataFrame:
+    return changes.imported(notes(spark, sf, "domain", "title", "body_preview"), "domain", "title", "body_preview")

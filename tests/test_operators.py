@@ -195,3 +195,21 @@ def test_expansion_snippets_and_embedding(spark):
     c = embed.coverage(df, "id", v).first()
     assert (c.total, c.embedded, c.pct) == (4, 2, 50.0)
     assert df.select(retrieval.snippet(F.col("t"), "fox", 2)).first()[0] == "d fox"
+
+
+def test_write_pipeline_and_imports(spark):
+    facts = spark.createDataFrame([("a", "x")], "id string, content string")
+    rows = [("password: hunter2", "Test", "agent", None), ("mail me at a@b.co", "Test", "agent", None), ("SYSTEM: plain", "People", "conversation", None), ("plain", "Test", "agent", None), ("plain", "Test", "agent", None), (None, "Test", "agent", None)]
+    inc = spark.createDataFrame(rows, "content string, domain string, source string, sensitivity string")
+    got = sorted((r.action, r.tier, r.content or "") for r in changes.remembered(facts, inc).collect())
+    assert got == [("allow", "public", "mail me at [REDACTED]"), ("allow", "public", "plain"), ("block", "public", ""), ("quarantine", "sensitive", "plain")]
+    df = spark.createDataFrame([("Cat", "N", "b"), ("Cat", "N", "b"), (None, None, None)], "c string, n string, b string")
+    out = changes.imported(df, "c", "n", "b")
+    assert {r.content for r in out.collect()} == {"[Cat] N: b", "[misc] : "}
+    assert changes.recalled(out, out).where("found").count() == 2
+
+
+def test_links_titles_and_id_lists(spark):
+    assert column(spark, lambda c: tx.linkified(c, ["Cat", "Cat Food"]), "Cat Food and [[Cat]], Cats, Cat.") == ["[[Cat Food]] and [[Cat]], Cats, [[Cat]]."]
+    assert column(spark, lambda c: tx.stored_title(F.lit(" "), c), "One. Two.", "") == ["One.", "fact"]
+    assert column(spark, lambda c: tx.id_list(c, ("a", "b"), 2), '{"b": ["x", "y", "z"]}', "bad", None) == [["x", "y"], [], []]
