@@ -51,7 +51,8 @@ def merge_intervals(df: DataFrame, keys: list[str], start_us: str, end_us: str,
     by_entity = W.partitionBy(*ks).orderBy("block")
     carried = (
         sessions.groupBy(*ks, "block")
-        .agg(F.max("b").alias("block_end"))
+        .agg(F.max("b").alias("block_end"), F.min("a").alias("block_start"))
+        .where("block_start IS NOT NULL")  # always so; it keeps both uses of the sessions alike, so that they are computed once
         .select(
             *ks,
             "block",
