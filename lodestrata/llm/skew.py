@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +11,18 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.005
 
 
-def join_hot_aside(rows: DataFrame, dictionary: DataFrame, key: str, n_rows: int, count: str = "n") -> DataFrame:
+def join_hot_aside(
+    rows: DataFrame, dictionary: DataFrame, key: str, n_rows: int, count: str = "n", prepare: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
     """Inner join of `rows` with a dictionary of unique `key`s that carries each key's row count in column `count`.
 
-    Keys with at least HOT_SHARE of the rows (never more than 200) are broadcast, the rest is shuffled.
+    Keys with at least HOT_SHARE of the rows (never more than 200) are broadcast, the rest is shuffled. `prepare` is
+    costly work on the dictionary's rows; it is done once for each key, after hot and other keys are parted.
     """
     hot = F.col(count) >= max(1.0, HOT_SHARE * n_rows)
-    few = F.broadcast(dictionary.where(hot).drop(count))
+    few = F.broadcast(prepare(dictionary.where(hot).drop(count)))
     rest = rows.join(F.broadcast(dictionary.where(hot).select(key)), key, "left_anti")
-    return rows.join(few, key).unionByName(rest.join(dictionary.where(~hot).drop(count), key))
+    return rows.join(few, key).unionByName(rest.join(prepare(dictionary.where(~hot).drop(count)), key))
 
 
 def integer_ids(values: DataFrame, key: str, n_rows: int, per_range: int = 50_000) -> DataFrame:

@@ -131,14 +131,11 @@ def token_ids(documents: DataFrame, path: str | None = None, id_col: str = "doc_
             yield pdf.assign(head=[p[0] for p in parts], middle=[p[1] for p in parts], tail=[p[2] for p in parts])
 
     places = chunks.select("doc_id", "digest", "seq", "key")
-    encoded = (
-        chunks.groupBy("key")
-        .agg(F.first("chunk").alias("chunk"), F.count(F.lit(1)).alias("n"))
-        .mapInPandas(encode, "key binary, n bigint, head string, middle array<int>, tail string")
-    )
+    distinct = chunks.groupBy("key").agg(F.first("chunk").alias("chunk"), F.count(F.lit(1)).alias("n"))
     # chunks have a mean length, so a corpus of c characters has about c / MEAN_CHUNK of them
     n_chunks = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    placed = join_hot_aside(places, encoded, "key", max(1, n_chunks // MEAN_CHUNK))
+    schema = "key binary, head string, middle array<int>, tail string"
+    placed = join_hot_aside(places, distinct, "key", max(1, n_chunks // MEAN_CHUNK), prepare=lambda df: df.mapInPandas(encode, schema))
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
