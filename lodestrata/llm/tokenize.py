@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.frames import frame
 from lodestrata.llm.skew import join_hot_aside
+from lodestrata.session import ensure_checkpoint_dir
 
 #: Fixed: the tokenizer's pattern of pieces for byte_bpe_50k.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -122,7 +123,10 @@ def token_ids(documents: DataFrame, path: str | None = None, id_col: str = "doc_
     path = path or default_path()
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    ensure_checkpoint_dir(documents.sparkSession)
     chunks = docs.where("length(text) > 0").mapInPandas(_cut, f"doc_id {id_type}, digest binary, seq int, key binary, chunk string")
+    # cut once: hot places, other places and distinct chunks all start from here
+    chunks = chunks.checkpoint()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
@@ -132,10 +136,8 @@ def token_ids(documents: DataFrame, path: str | None = None, id_col: str = "doc_
 
     places = chunks.select("doc_id", "digest", "seq", "key")
     distinct = chunks.groupBy("key").agg(F.first("chunk").alias("chunk"), F.count(F.lit(1)).alias("n"))
-    # chunks have a mean length, so a corpus of c characters has about c / MEAN_CHUNK of them
-    n_chunks = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     schema = "key binary, head string, middle array<int>, tail string"
-    placed = join_hot_aside(places, distinct, "key", max(1, n_chunks // MEAN_CHUNK), prepare=lambda df: df.mapInPandas(encode, schema))
+    placed = join_hot_aside(places, distinct, "key", chunks.count(), prepare=lambda df: df.mapInPandas(encode, schema))
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
