@@ -4,8 +4,8 @@ A semi-Markov conditional random field. Candidate segments of bounded length get
 span (its shape, its words, the words around it); a segment outside any entity scores 0 for each token. Dynamic
 programming over the tokens chooses boundaries and types jointly. The model is fitted here, by gradient steps on the
 exact likelihood over the candidate lattice, on a bounded sample of texts (`sample_rows`) whose entities are marked
-by their introductions ("call ...", "ssn ...", "... signed off the ..."). Fitting also collects the name words of the
-sample, so that names are known where nothing introduces them.
+by their introductions ("call ...", "ssn ...", "... signed off the ..."). The name words and their endings are counted
+over all texts, on Spark, so that names are known where nothing introduces them, whether the sample has them or not.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
-#: Rows of the sample the model is fitted on, passes over it, and the most examples of one wording.
+#: Rows of the sample the weights are fitted on, passes over it, and the most examples of one wording. PER_WORDING keeps
+#: a frequent wording from outweighing the others; it bounds the fitting only, no text is left out of the name words.
 SAMPLE_ROWS, EPOCHS, PER_WORDING = 40_000, 6, 8
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
@@ -52,6 +53,10 @@ _LABEL = {
 _AFTER_PHONE = re.compile(r"^\s*(?:anrufen|après 18|after six)", re.I)
 _NAME_BEFORE = re.compile(r"(?:\bhanded to|\bmeeting with|\bthanks to|\bowner of the [\w ]{2,30} is|\btell|\bask|(?:^|[\n;,{|]\s*)(?:contact|owner|name)\s*[:=]\s*\"?|\bsigned by)\s*$", re.I)
 _NAME_AFTER = re.compile(r"^\s*(?:signed off the|asked for the|prefers|kommt am|a validé|pidió el|['’]s laptop|approved the)", re.I)
+#: In every text that introduces a name by the two patterns above.
+_NAME_HINT = re.compile(r"handed to|meeting with|thanks to|owner|tell|ask|contact|name|signed|prefers|kommt am|a validé|pidió el|['’]s laptop|approved the", re.I)
+#: From how many introduced names on a word, or an ending of long words, is known.
+KNOWN_WORD, KNOWN_ENDING = 2, 3
 _STOP = re.compile(r"^(?:the|about|again|for|is|said|and|or|a|on|in|of|to|note|ref|entry|card|fax|tel|call|mobile|please|bitte|cc|mailto|https?)$", re.I)
 
 
@@ -150,7 +155,7 @@ class Text:
 
 
 class Model:
-    """Weights of the field, and how often each word was part of a name in the sample."""
+    """Weights of the field, and how often each word was part of an introduced name in all texts."""
 
     def __init__(self):
         self.weights: dict[str, float] = {}
@@ -161,7 +166,7 @@ class Model:
         return self.level(word) != "0"
 
     def level(self, word: str) -> str:
-        return "3" if self.name_words.get(word, 0) >= 2 else "2" if len(word) > 5 and self.endings.get(word[-3:], 0) >= 3 else "0"
+        return "3" if self.name_words.get(word, 0) >= KNOWN_WORD else "2" if len(word) > 5 and self.endings.get(word[-3:], 0) >= KNOWN_ENDING else "0"
 
     def score(self, features: list[str]) -> float:
         get = self.weights.get
@@ -256,8 +261,42 @@ def unsettled(t: Text, gold: set[tuple[int, int, str]]) -> bool:
     return False
 
 
-def fit(texts: list[str], epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Fits the field to a sample: maximum likelihood over each text's candidate lattice, by adaptive gradient steps."""
+def marked_words(t: Text, gold: set[tuple[int, int, str]]) -> Iterator[str]:
+    """The words of a text's marked names."""
+    for i, j, kind in gold:
+        if kind == "person_name":
+            for w in t.lower[i:j]:
+                if len(w) > 2 and w[0].isalpha() and w not in _TITLES and w not in _PARTICLES:
+                    yield w
+
+
+def lexicon(records: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """Name words and endings that count as known, each with its number over all texts of any length."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: Counter = Counter()
+            for text in pdf["text"]:
+                if _NAME_HINT.search(text):
+                    t = Text(text, None)
+                    gold = introduced(t)
+                    if not unsettled(t, gold):
+                        for w in marked_words(t, gold):
+                            found[False, w] += 1
+                            if len(w) > 5:
+                                found[True, w[-3:]] += 1
+            yield pd.DataFrame([(ending, w, n) for (ending, w), n in found.items()], columns=["ending", "word", "n"]).astype({"ending": bool, "word": object, "n": "int64"})
+
+    counts = records.where("text IS NOT NULL").select("text").mapInPandas(run, "ending boolean, word string, n bigint")
+    known = counts.groupBy("ending", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("ending"), KNOWN_ENDING).otherwise(KNOWN_WORD)).collect()
+    return {r.word: r.n for r in known if not r.ending}, {r.word: r.n for r in known if r.ending}
+
+
+def fit(texts: list[str], epochs: int = EPOCHS, seed: int = 7, known: tuple[dict[str, int], dict[str, int]] | None = None) -> Model:
+    """Fits the field to a sample: maximum likelihood over each text's candidate lattice, by adaptive gradient steps.
+
+    known: name words and endings of all texts; without it, those of the sample.
+    """
     model, marked = Model(), []
     words, endings = Counter(), Counter()
     for text in texts:
@@ -266,13 +305,10 @@ def fit(texts: list[str], epochs: int = EPOCHS, seed: int = 7) -> Model:
         if unsettled(t, gold):
             continue
         marked.append((text, gold))
-        for i, j, kind in gold:
-            if kind == "person_name":
-                for w in t.lower[i:j]:
-                    if len(w) > 2 and w[0].isalpha() and w not in _TITLES and w not in _PARTICLES:
-                        words[w] += 1
-                        endings[w[-3:]] += len(w) > 5
-    model.name_words, model.endings = dict(words), dict(endings)
+        for w in marked_words(t, gold):
+            words[w] += 1
+            endings[w[-3:]] += len(w) > 5
+    model.name_words, model.endings = known or (dict(words), dict(endings))
     lattices = []
     for text, gold in marked:
         t = Text(text, model)
@@ -314,7 +350,7 @@ def _logsum(xs: list[float]) -> float:
 
 def sample_texts(records: DataFrame, sample_rows: int = SAMPLE_ROWS, per_wording: int = PER_WORDING) -> list[str]:
     """At most `sample_rows` texts by hash order, at most `per_wording` of each opening wording."""
-    texts = records.where("text IS NOT NULL AND length(text) < 2000").select("text")
+    texts = records.where("text IS NOT NULL").select("text")
     rows = texts.orderBy(F.xxhash64("text"), "text").limit(sample_rows).collect()
     kept, seen = [], Counter()
     for r in rows:
@@ -331,7 +367,7 @@ def find_personal(records: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFra
     records: any columns with a STRING `text`; own columns of these two names are replaced; null texts give nulls, empty ones themselves. Texts of any length are
     read whole. An empty table stays empty.
     """
-    model = fit(sample_texts(records, sample_rows))
+    model = fit(sample_texts(records, sample_rows), known=lexicon(records))
     records = records.drop("found", "redacted")
     schema = records.select("*").schema.add("found", _FOUND).add("redacted", "string")
 

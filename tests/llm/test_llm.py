@@ -144,6 +144,22 @@ def test_personal_information_on_held_out_texts():
     assert right / len(held) > 0.97
 
 
+def test_name_words_come_from_all_texts(spark):
+    rng = random.Random(9)
+    names = [f"{''.join(rng.choices('bdgklmnprstvz', k=2)).title()}{rng.choice('aiou')}{rng.choice('bdgkpt')} {rng.choice('AIOU')}{''.join(rng.choices('bdgkpt', k=3))}" for _ in range(40)]
+    texts = [t for t, _ in personal_corpus(5, 600)] + [f"keys were handed to {rng.choice(FIRST)} {rng.choice(LAST)}.".lower() for _ in range(200)]
+    texts += [f"keys were handed to {n}." for n in names for _ in range(3)]
+    texts += ["The plain box is full. " * 120 + "keys were handed to Zarb Ukkt." for _ in range(2)]
+    wanted = [f"keys were handed to {n}.".lower() for n in [*names, "Zarb Ukkt"]]
+    df = spark.createDataFrame([(t,) for t in texts + wanted], "text string")
+    sample = personal.sample_texts(df)
+    assert sum(f"keys were handed to {n}." in sample for n in names) < 20  # few wordings are enough for the weights
+    got = {r.text: r.redacted for r in personal.find_personal(df).collect()}
+    assert [got[t] for t in wanted] == ["keys were handed to [PERSON_NAME]."] * len(wanted)
+    words, _ = personal.lexicon(df)
+    assert {w for n in [*names, "Zarb Ukkt"] for w in n.lower().split()} <= set(words)
+
+
 def test_redaction(spark):
     corpus = [(i, t, "x") for i, (t, _) in enumerate(personal_corpus(3, 800))]
     corpus += [(9000, None, "x"), (9001, "", "x"), (9002, "call +44 7700 900123 after six; cc anna_1@post.example.net", "x"), (9003, "plain " * 3000, "x")]
