@@ -122,9 +122,10 @@ def capitalised_entities(text: Column, stop_words: list[str], most: int = 15) ->
 
 
 def line_hits(text: Column, pattern: str) -> Column:
-    """(line_no, line) of the lines that contain the pattern, letter case aside, cut at 200 characters."""
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).cast("int").alias("line_no"), F.substring(F.trim(x), 1, 200).alias("line")))
-    return F.filter(lines, lambda x: F.contains(F.lower(x["line"]), F.lit(pattern.lower())))
+    """(line_no, line) of the lines that contain the pattern anywhere, letter case aside; what is shown is cut at 200 characters."""
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).cast("int").alias("line_no"), x.alias("line")))
+    hits = F.filter(lines, lambda x: F.contains(F.lower(x["line"]), F.lit(pattern.lower())))
+    return F.transform(hits, lambda x: F.struct(x["line_no"].alias("line_no"), F.substring(F.trim(x["line"]), 1, 200).alias("line")))
 
 
 def note_importance(n_tags: Column, text: Column) -> Column:

@@ -136,6 +136,11 @@ def test_extraction(spark):
     assert {(r.subject, r.predicate, r.object) for r in extract.statements_in(df, "i", F.col("t"), ["mail bridge", "cold tier"]).collect()} == {("mail bridge", "part_of", "cold tier"), ("mail bridge", "not_uses", "cold tier")}
 
 
+def test_line_hits_behind_the_shown_part(spark):
+    got = column(spark, lambda v: tx.line_hits(v, "Prompt template"), "none\n  " + "x" * 300 + " a PROMPT template", "prompt template", "prompt\ntemplate", None)
+    assert [g and [tuple(h) for h in g] for g in got] == [[(2, "x" * 200)], [(1, "prompt template")], [], None]
+
+
 def test_sessions(spark):
     df = spark.createDataFrame([(1, "user: hi\nassistant: yes\nuser: more"), (2, "plain"), (3, "assistant: only")], "doc_id int, text string")
     m = messages.messages(df)
