@@ -151,13 +151,12 @@ def extracted_preferences(spark: SparkSession, sf: str) -> DataFrame:
 
 @Q.add()
 def extracted_statements(spark: SparkSession, sf: str) -> DataFrame:
-    # the dictionary: the hundred entities that most statements name, without the number of their edition
+    # the dictionary: all entities that statements name, without the number of their edition
     t = triples(spark, sf, "subject", "object").select(F.explode(F.array("subject", "object")).alias("name")).where("length(name) >= 3")
     name = F.regexp_replace(F.lower(F.trim("name")), r"\s+(one|two|north|south|east|west|[0-9]+)$", "")
-    top = t.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n")).where("name RLIKE '^[a-z0-9 -]+$'").orderBy(F.desc("n"), "name").limit(100)
-    entities = [r.name for r in top.collect()]
+    entities = t.select(name.alias("name")).distinct()
     f = facts(spark, sf, "content").where("content IS NOT NULL")
-    return extract.statements_in(f, "id", F.col("content"), entities or ["-"])
+    return extract.statements_in(f, "id", F.col("content"), entities)
 
 
 @Q.add(

@@ -136,6 +136,39 @@ def test_extraction(spark):
     assert {(r.subject, r.predicate, r.object) for r in extract.statements_in(df, "i", F.col("t"), ["mail bridge", "cold tier"]).collect()} == {("mail bridge", "part_of", "cold tier"), ("mail bridge", "not_uses", "cold tier")}
 
 
+def brute_statements(text, names):
+    """As one alternation over the names, on texts with a single 'uses'."""
+    import re
+
+    pattern = re.compile(rf"(?<![^\W_])({'|'.join(map(re.escape, sorted(names, key=lambda n: (-len(n), n))))})(?![^\W_])")
+    before, after = text.lower().split(" uses ")
+    b, a = pattern.findall(before[-79:] + " "), pattern.findall(" " + after[:79])
+    ends = (b or a[:1] or [None])[-1], (a or b[-1:] or [None])[0]
+    return {ends} if ends[0] != ends[1] else set()
+
+
+def test_statements_equal_brute_force(spark):
+    rng = random.Random(12)
+    names = ["a", "a b", "b a b", "c-d", "d", "c++", ".net", "é a", "ab"]
+    texts = [" ".join(rng.choices(["a", "B", "c-d", "d", "c++", ".net", "É", "ab", "xx,"], k=rng.randrange(0, 40))) + " uses " + " ".join(rng.choices(["a", "b", "c-d", "x", "ab", "é"], k=rng.randrange(0, 30))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {(r.src_id, r.subject, r.object) for r in extract.statements_in(df, "i", F.col("t"), names).collect()}
+    assert got == {(i, *ends) for i, t in enumerate(texts) for ends in brute_statements(t, names)}
+
+
+def test_statements_of_rare_entities(spark, tmp_path):
+    from lodestrata.plans.texts import extracted_statements
+
+    sf = "/root/testdata/sf0.001"
+    many = spark.range(130).select(F.format_string("hub n%03d", "id").alias("o"))
+    t = spark.read.parquet(f"{sf}/triples.parquet").limit(1)
+    rows = many.unionByName(many).unionByName(spark.createDataFrame([("Émile gate",), ("rare gate",)], "o string"))
+    t.drop("subject", "object", "id").crossJoin(rows).select("*", F.col("o").alias("subject"), F.col("o").alias("object"), F.xxhash64("o").alias("id")).drop("o").write.parquet(f"{tmp_path}/triples.parquet")
+    f = spark.read.parquet(f"{sf}/facts.parquet").limit(1)
+    f.withColumn("content", F.lit("The rare gate uses the Émile Gate.")).write.parquet(f"{tmp_path}/facts.parquet")
+    assert {(r.subject, r.predicate, r.object) for r in extracted_statements(spark, str(tmp_path)).collect()} == {("rare gate", "uses", "émile gate")}
+
+
 def test_line_hits_behind_the_shown_part(spark):
     got = column(spark, lambda v: tx.line_hits(v, "Prompt template"), "none\n  " + "x" * 300 + " a PROMPT template", "prompt template", "prompt\ntemplate", None)
     assert [g and [tuple(h) for h in g] for g in got] == [[(2, "x" * 200)], [(1, "prompt template")], [], None]
