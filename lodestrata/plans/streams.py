@@ -44,8 +44,8 @@ def injected_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 @Q.add()
 def stream_injected_facts(spark: SparkSession, sf: str) -> DataFrame:
-    stream = jobs.follow(spark, sf, "audit_log", "id", "session_id", "fact_id").where("session_id <> '' AND fact_id <> ''")
-    stream = stream.select("session_id", F.lower(F.trim("fact_id")).alias("fact_id"), F.col("id").alias("turn"))
+    stream = jobs.follow(spark, sf, "audit_log", "id", "ts", "session_id", "fact_id").where("session_id <> '' AND fact_id <> '' AND ts IS NOT NULL")
+    stream = jobs.once(stream, "id", "ts").select("session_id", F.lower(F.trim("fact_id")).alias("fact_id"), F.col("ts").alias("at"), "id")
     return jobs.run_available(jobs.to_inject(stream))
 
 

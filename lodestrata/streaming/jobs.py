@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -67,25 +68,26 @@ def captured_sessions(stream: DataFrame, gap: str = "13 hours") -> DataFrame:
 def to_inject(stream: DataFrame, window: int = 5) -> DataFrame:
     """(session_id, fact_id, turn) of the facts to inject: not again within `window` turns of the last injection.
 
-    stream: session_id, fact_id, turn. The state of a session and fact is the turn of its last injection, so it
-    stays one number however long a session gets.
+    stream: session_id, fact_id, at, id. A session's turns are counted from 1 as its rows come, those that come
+    together in order of `at` and `id`. Its state is the number of turns and the last injection of each fact, which is
+    dropped after `window` turns, so it stays small however long a session gets.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for pdf in batches:
-            turns = []
-            for turn in sorted(pdf["turn"]):
-                if last is None or turn - last > window:
-                    turns.append(turn)
-                    last = int(turn)
-            if turns:
-                yield pd.DataFrame({"session_id": key[0], "fact_id": key[1], "turn": turns})
-        if last is not None:
-            state.update((last,))
-
-    return stream.groupBy("session_id", "fact_id").applyInPandasWithState(
-        step, "session_id string, fact_id string, turn bigint", "last bigint", "append", GroupStateTimeout.NoTimeout
+        turn, last = (state.get[0], json.loads(state.get[1])) if state.exists else (0, {})
+        out = []
+        for fact in pd.concat(list(batches)).sort_values(["at", "id"], kind="stable")["fact_id"]:
+            turn += 1
+            if fact not in last or turn - last[fact] > window:
+                out.append((key[0], fact, turn))
+                last[fact] = turn
+                last = {f: t for f, t in last.items() if turn - t <= window}
+        state.update((turn, json.dumps(last)))
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "fact_id", "turn"])
+
+    return stream.groupBy("session_id").applyInPandasWithState(
+        step, "session_id string, fact_id string, turn bigint", "turn bigint, last string", "append", GroupStateTimeout.NoTimeout
     )
 
 

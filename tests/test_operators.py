@@ -196,6 +196,17 @@ def test_injection_window(spark):
     assert sorted(map(tuple, got.collect())) == sorted(expect)
 
 
+def test_injection_stream_equals_batch(spark, tmp_path):
+    from lodestrata.plans.streams import injected_facts, stream_injected_facts
+
+    rng = random.Random(3)
+    rows = [(1000 * i, f"s{rng.randrange(3)}", f"f{rng.randrange(4)}", dt.datetime(2025, 1, 1) + dt.timedelta(minutes=rng.randrange(600))) for i in range(200)]
+    a = spark.createDataFrame(rows + rows[:20], "id bigint, session_id string, fact_id string, ts timestamp_ntz")
+    a.withColumn("action", F.lit("recall")).write.parquet(f"{tmp_path}/audit_log.parquet")
+    got, want = (sorted(map(tuple, q(spark, str(tmp_path)).collect())) for q in (stream_injected_facts, injected_facts))
+    assert got == want and 0 < len(got) < 200
+
+
 def test_vault_round_trip(spark, tmp_path):
     (tmp_path / "Finance" / "_x").mkdir(parents=True)
     (tmp_path / "_archive").mkdir()
