@@ -227,6 +227,14 @@ def triple_reach(spark: SparkSession, sf: str) -> DataFrame:
     return shortest_paths(seed, both_ways(t, "subject", "object"), 2).select("node", "hops")
 
 
+@Q.add()
+def triple_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """(seed, node, hops, path) within four steps of the subjects of statements whose id is divisible by 50."""
+    t = triples(spark, sf, "subject", "object")
+    seeds = t.where("id % 50 = 0 AND subject IS NOT NULL").select(F.col("subject").alias("node"))
+    return shortest_paths(seeds, both_ways(t, "subject", "object"))
+
+
 @Q.add(
     """, l AS (SELECT domain, note_id, title, importance, row_number() OVER (PARTITION BY domain ORDER BY importance DESC NULLS LAST, note_id) AS pos FROM n)
 SELECT domain, pos, '- [[' || coalesce(title, note_id) || ']]' AS line FROM l""",

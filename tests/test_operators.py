@@ -100,6 +100,29 @@ def test_paths(spark):
     assert got == {"a": (0, ["a"]), "b": (1, ["a", "b"]), "c": (2, ["a", "b", "c"])}
 
 
+def test_triple_paths_equal_brute_force(spark, tmp_path):
+    from lodestrata.plans.links import triple_paths
+
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(75)]
+    t = spark.read.parquet("/root/testdata/sf0.001/triples.parquet").limit(1).drop("id", "subject", "object")
+    new = spark.createDataFrame([(i * 10, s, o) for i, (s, o) in enumerate(pairs)], "id bigint, subject string, object string")
+    t.crossJoin(new).write.parquet(f"{tmp_path}/triples.parquet")
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    expect = {}
+    for seed in {s for i, (s, _) in enumerate(pairs) if i % 5 == 0}:
+        paths = [[seed]]
+        for _ in range(5):
+            for path in sorted(paths):
+                expect.setdefault((seed, path[-1]), path)
+            paths = [[*p, x] for p in paths for x in near[p[-1]] if x not in p]
+    got = {(r.seed, r.node): (r.hops, r.path) for r in triple_paths(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(p) - 1, p) for k, p in expect.items()} and max(h for h, _ in got.values()) == 4
+
+
 def test_bm25_batch_agrees_with_single(spark):
     docs = spark.createDataFrame([("1", "red fox"), ("2", "red red dog"), ("3", "blue"), ("4", "")], "id string, t string")
     one = {r.doc: round(r.score, 6) for r in lexical.bm25(docs, "id", F.col("t"), ["red"]).collect()}
