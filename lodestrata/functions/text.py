@@ -11,6 +11,15 @@ def let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+#: Blanks of any kind, the zero-width ones among them.
+BLANK = r"[\s\p{Z}\x{0085}\x{200B}\x{2060}\x{FEFF}]"
+
+
+def strip_blanks(text: Column) -> Column:
+    """The text without blanks of any kind (space, tab, line end, no-break space and so on) around it."""
+    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
+
+
 def record_id(content: Column) -> Column:
     """First 16 hex digits of the content's sha256."""
     return F.substring(F.sha2(content, 256), 1, 16)

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions.frames import frame
+from lodestrata.functions.text import strip_blanks
 
 #: Keys a range is sized for, and bits in one bitmap of the built-in bitmap functions. A fuller range uses several.
 KEYS_PER_RANGE = 16_384
@@ -50,11 +51,12 @@ def _surviving(key: tuple, words: pd.DataFrame, maps: pd.DataFrame) -> pd.DataFr
     return frame(list(zip(hits["space"], hits["ref_key"], hits["month"])), SURVIVOR)
 
 
-def missing_keys(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS_PER_RANGE) -> DataFrame:
+def missing_keys(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS_PER_RANGE, n_keys: int | None = None) -> DataFrame:
     """Distinct (space, ref_key, month) of `refs` with no parent known to be created before that month.
 
     refs: space, ref_key, created_at. parents: space, ref_key, created_at. `month` counts months, -1 for an
     unknown time of the reference; a parent of unknown time counts as always there. Null keys are left out.
+    n_keys sizes the key ranges, as a count of rows that stands in for that of keys; without it the rows are counted.
     """
     month = F.coalesce((F.year("created_at") * 12 + F.month("created_at")).cast("int"), F.lit(-1))
     marks = (
@@ -70,7 +72,8 @@ def missing_keys(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS
         .where("ref_key IS NOT NULL")
         .distinct()
     )
-    ranges = max(1, -(-(refs.count() + parents.count()) // keys_per_range))
+    n_keys = refs.count() + parents.count() if n_keys is None else n_keys
+    ranges = max(1, -(-n_keys // keys_per_range))
     coded = (
         marks.withColumn("key_range", F.pmod(F.xxhash64("space", "ref_key"), F.lit(ranges)).cast("int"))
         .repartition("key_range")
@@ -93,7 +96,7 @@ def missing_keys(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS
 
 
 def orphan_references(
-    refs: DataFrame, parents: DataFrame, removals: DataFrame, keys_per_range: int = KEYS_PER_RANGE, salts: int = 8
+    refs: DataFrame, parents: DataFrame, removals: DataFrame, keys_per_range: int = KEYS_PER_RANGE, salts: int = 8, n_keys: int | None = None
 ) -> DataFrame:
     """References whose target is absent, removed or late (src, src_key, ref_id, reason, ref_month).
 
@@ -101,14 +104,15 @@ def orphan_references(
     is an unknown time and repeated keys count with their earliest known time. removals: space, ref_key.
     `deleted` is an absent key among the removals, `missing` any other absent key, `late` a key whose parent was
     created after the reference; an unknown time on either side is never late. Null keys are no references.
-    References delivered twice come out once. Empty tables give no rows. Other columns are ignored.
+    References delivered twice come out once. Empty tables give no rows. Other columns are ignored. n_keys: see
+    `missing_keys`.
     """
     refs = refs.select("src", "src_key", "space", "ref_key", "created_at")
     known = parents.where("ref_key IS NOT NULL").groupBy("space", "ref_key").agg(
         F.min("created_at").alias("parent_at"), F.max(F.col("created_at").isNull()).alias("undated")
     )
     known = known.select("space", "ref_key", F.when(~F.col("undated"), F.col("parent_at")).alias("parent_at"))
-    left = missing_keys(refs, known.withColumnRenamed("parent_at", "created_at"), keys_per_range)
+    left = missing_keys(refs, known.withColumnRenamed("parent_at", "created_at"), keys_per_range, n_keys)
     removed = removals.where("ref_key IS NOT NULL").select("space", "ref_key").distinct().withColumn("removed", F.lit(True))
     suspects = (
         left.join(known.withColumn("there", F.lit(True)), ["space", "ref_key"], "left")
@@ -139,15 +143,15 @@ def orphan_references(
 
 
 def store_references(edges: DataFrame, vectors: DataFrame, episodes: DataFrame) -> DataFrame:
-    """The store's references (src, src_key, space, ref_key, created_at), trimmed, fact ids in lower case."""
+    """The store's references (src, src_key, space, ref_key, created_at), without blanks around keys, fact ids in lower case."""
     links = edges.where(F.col("kind").startswith("wikilink") | F.col("kind").startswith("triple:")).select(
         F.lit("graph_edges").alias("src"),
         F.col("id").cast("string").alias("src_key"),
         F.when(F.col("kind").startswith("triple:"), "entity").otherwise("note").alias("space"),
-        F.nullif(F.trim("target_id"), F.lit("")).alias("ref_key"),
+        F.nullif(strip_blanks(F.col("target_id")), F.lit("")).alias("ref_key"),
         "created_at",
     )
-    fact = F.nullif(F.lower(F.trim("fact_id")), F.lit(""))
+    fact = F.nullif(F.lower(strip_blanks(F.col("fact_id"))), F.lit(""))
     embedded = vectors.select(F.lit("fact_embeddings").alias("src"), fact.alias("src_key"), F.lit("fact").alias("space"), fact.alias("ref_key"), "created_at")
     ids = F.array_distinct(F.regexp_extract_all(F.lower("linked_fact_ids"), F.lit(r"(?<![0-9a-z])([0-9a-f]{16})(?![0-9a-z])"), 1))
     linked = episodes.select(F.lit("episodes").alias("src"), F.col("episode_id").alias("src_key"), F.lit("fact").alias("space"), F.explode(ids).alias("ref_key"), "created_at")

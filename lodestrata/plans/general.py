@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import strip_blanks
 from lodestrata.functions.times import ntz_of, parse_micros
 from lodestrata.operators.intervals import statement_periods
 from lodestrata.operators.multivalue import split_values
@@ -23,26 +24,29 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "episodes", "episode_id", "linked_fact_ids", "created_at"),
     )
     triples = table(spark, sf_dir, "triples", "subject", "object")
+    key = lambda c: strip_blanks(F.col(c))
     unknown = F.lit(None).cast("timestamp_ntz")
     parents = (
         table(spark, sf_dir, "facts", "id", "created_at")
-        .select(F.lit("fact").alias("space"), F.lower(F.trim("id")).alias("ref_key"), "created_at")
+        .select(F.lit("fact").alias("space"), F.lower(key("id")).alias("ref_key"), "created_at")
         .unionByName(
             table(spark, sf_dir, "notes_meta", "note_id", "created").select(
-                F.lit("note").alias("space"), F.trim("note_id").alias("ref_key"), ntz_of(parse_micros(F.col("created"))).alias("created_at")
+                F.lit("note").alias("space"), key("note_id").alias("ref_key"), ntz_of(parse_micros(F.col("created"))).alias("created_at")
             )
         )
         .unionByName(
-            triples.select(F.explode(F.array(F.trim("subject"), F.trim("object"))).alias("ref_key")).distinct().select(
+            triples.select(F.explode(F.array(key("subject"), key("object"))).alias("ref_key")).distinct().select(
                 F.lit("entity").alias("space"), "ref_key", unknown.alias("created_at")
             )
         )
     )
     removals = table(spark, sf_dir, "audit_log", "action", "fact_id", "detail", "ok").where("ok AND action IN ('forget', 'delete_note')").select(
         F.when(F.col("action") == "forget", "fact").otherwise("note").alias("space"),
-        F.when(F.col("action") == "forget", F.lower(F.trim("fact_id"))).otherwise(F.trim("detail")).alias("ref_key"),
+        F.when(F.col("action") == "forget", F.lower(key("fact_id"))).otherwise(key("detail")).alias("ref_key"),
     )
-    return orphan_references(refs, parents, removals)
+    # from the footers alone: no more than this many keys but for facts that an episode links in plenty
+    n_keys = sum(table(spark, sf_dir, name).count() for name in ("graph_edges", "fact_embeddings", "episodes", "facts", "notes_meta", "triples", "triples"))
+    return orphan_references(refs, parents, removals, n_keys=n_keys)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +77,12 @@ def _micros_sql(col: str) -> str:
     return f"(CASE WHEN regexp_matches({col}, '[0-9]{{4}}') THEN TRY_CAST({bare} AS TIMESTAMP) - to_minutes({zone}) END)"
 
 
+def _bare(col: str) -> str:
+    """The text without blanks of any kind around it."""
+    blank = r"[\s\p{Z}\x{0085}\x{200B}\x{2060}\x{FEFF}]"
+    return f"regexp_replace({col}, '^{blank}+|{blank}+$', '', 'g')"
+
+
 def oracle_sql() -> dict:
     return {
         "p1_found": f"""
@@ -94,16 +104,16 @@ FROM o""",
         "p2_found": f"""
 WITH refs AS (
   SELECT 'graph_edges' AS src, CAST(id AS VARCHAR) AS src_key, CASE WHEN kind = 'wikilink' THEN 'note' ELSE 'entity' END AS space,
-         trim(target_id) AS k, created_at FROM graph_edges
-  UNION SELECT 'fact_embeddings', lower(trim(fact_id)), 'fact', lower(trim(fact_id)), created_at FROM fact_embeddings
+         {_bare('target_id')} AS k, created_at FROM graph_edges
+  UNION SELECT 'fact_embeddings', lower({_bare('fact_id')}), 'fact', lower({_bare('fact_id')}), created_at FROM fact_embeddings
   UNION SELECT 'episodes', episode_id, 'fact', unnest(regexp_extract_all(lower(linked_fact_ids), '[0-9a-f]{{16}}')), created_at FROM episodes),
 parents AS (
-  SELECT 'fact' AS space, id AS k, created_at AS born FROM facts
-  UNION SELECT 'note', note_id, {_micros_sql("created")} FROM notes_meta
-  UNION SELECT 'entity', subject, NULL FROM triples UNION SELECT 'entity', object, NULL FROM triples),
+  SELECT 'fact' AS space, lower({_bare('id')}) AS k, created_at AS born FROM facts
+  UNION SELECT 'note', {_bare('note_id')}, {_micros_sql("created")} FROM notes_meta
+  UNION SELECT 'entity', {_bare('subject')}, NULL FROM triples UNION SELECT 'entity', {_bare('object')}, NULL FROM triples),
 known AS (SELECT space, k, CASE WHEN count(*) = count(born) THEN min(born) END AS born FROM parents GROUP BY ALL),
-gone AS (SELECT DISTINCT 'fact' AS space, lower(trim(fact_id)) AS k FROM audit_log WHERE ok AND action = 'forget'
-         UNION SELECT DISTINCT 'note', trim(detail) FROM audit_log WHERE ok AND action = 'delete_note')
+gone AS (SELECT DISTINCT 'fact' AS space, lower({_bare('fact_id')}) AS k FROM audit_log WHERE ok AND action = 'forget'
+         UNION SELECT DISTINCT 'note', {_bare('detail')} FROM audit_log WHERE ok AND action = 'delete_note')
 SELECT DISTINCT r.src, r.src_key, r.k AS ref_id,
   CASE WHEN p.k IS NULL AND g.k IS NOT NULL THEN 'deleted' WHEN p.k IS NULL THEN 'missing' ELSE 'late' END AS reason,
   coalesce(strftime(r.created_at, '%Y-%m'), '') AS ref_month

@@ -101,6 +101,22 @@ def test_orphans_equal_brute_force(spark, per_range):
     assert len(found) == len(set(found)) and set(found) == brute_orphans(refs, parents, gone)
 
 
+def test_blanks_around_keys_do_not_count(spark):
+    from lodestrata.operators.orphans import store_references
+
+    at = dt.datetime(2025, 3, 1)
+    e = [(i, k, "wikilink", at) for i, k in enumerate(["n/a\n", "\tn/a", "\u00a0n/a \u2009", " \r\n", "n/b\n", "n/c c\u200b", None])]
+    v = [("\nABCDEF0123456789\u00a0", at), ("abcdef0123456789\t", at)]
+    refs = store_references(
+        spark.createDataFrame(e, "id bigint, target_id string, kind string, created_at timestamp_ntz"), spark.createDataFrame(v, "fact_id string, created_at timestamp_ntz"),
+        spark.createDataFrame([("x", '["ABCDEF0123456789"]', at)], "episode_id string, linked_fact_ids string, created_at timestamp_ntz"),
+    )
+    got = orphan_references(refs, spark.createDataFrame([("note", "n/a", None)], PARENT), spark.createDataFrame([("note", "n/c c")], GONE), n_keys=1)
+    assert rows(got, "src", "src_key", "ref_id", "reason") == [
+        ("episodes", "x", "abcdef0123456789", "missing"), ("fact_embeddings", "abcdef0123456789", "abcdef0123456789", "missing"), ("graph_edges", "4", "n/b", "missing"), ("graph_edges", "5", "n/c c", "deleted"),
+    ]
+
+
 def test_orphans_of_empty_tables(spark):
     empty = orphan_references(spark.createDataFrame([], REF), spark.createDataFrame([], PARENT), spark.createDataFrame([], GONE))
     assert empty.count() == 0
