@@ -5,39 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Date with '-' or '/', or compact; a time part down to minutes, seconds or fractions; an offset or Z.
-SPELLING = (
-    r"^(\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{8})"
-    r"([T ](\d{2}:\d{2}(:\d{2}([.]\d{1,9})?)?|\d{4}|\d{6}))?"
-    r" ?(Z|z|[+-]\d{2}(:?\d{2})?)?$"
-)
+from lodestrata.functions.text import let
 
-#: Steps from any of these spellings to yyyy-MM-ddTHH:mm[:ss[.f]] with an offset.
-_REWRITES = (
-    (r"^(\d{4})/(\d{2})/(\d{2})", "$1-$2-$3"),
-    (r"^(\d{4})(\d{2})(\d{2})(?=$|[TZz +])", "$1-$2-$3"),
-    (r"^(.{10})[T ](\d{2})(\d{2})(\d{2})?(?=$|[Zz +-])", "$1T$2:$3:$4"),
-    (r":(?=$|[Zz +-])", ""),
-    (r"^(.{10}) (\d)", "$1T$2"),
-    (r"^(.{10})(?= ?([Zz+-]|$))", "$1T00:00"),
-    (r" ?([+-]\d{2}):?(\d{2})?$", "$1:$2"),
-    (r":$", ":00"),
-    (r" ?[Zz]$", ""),
-    (r"^(.{10}T\d{2}:\d{2})(?=$|[+-])", "$1:00"),
-    (r"^(.{10}T[\d:.]+)$", "$1Z"),
+#: Date with '-' or '/', or compact; a time part down to minutes, seconds or fractions; an offset or Z. Groups: year,
+#: month, day, hour, minute, second, fraction, sign and two parts of the offset.
+SPELLING = (
+    r"^(?<y>\d{4})(?<sep>[-/]?)(?<mo>\d{2})\k<sep>(?<d>\d{2})"
+    r"(?:[T ](?<h>\d{2})(?<colon>:?)(?<mi>\d{2})(?:\k<colon>(?<s>\d{2})(?<f>(?<=:\d{2})[.]\d{1,9})?)?)?"
+    r" ?(?:[Zz]|(?<sign>[+-])(?<oh>\d{2}):?(?<om>\d{2})?)?$"
 )
+_PARTS = "\u0001${y}-${mo}-${d}|${h}|${mi}|${s}|${f}|${sign}|${oh}|${om}"
+_BLANKS = " \t\r\n\u00a0"
 
 
 def parse_micros(text: Column) -> Column:
     """Microseconds since the epoch in UTC, or null where the text is no real time.
 
-    No offset means UTC, a date alone its midnight. Days that don't exist (30 February) give null.
+    No offset means UTC, a date alone its midnight. Days that don't exist (30 February) give null. The text is read
+    by one pattern, once.
     """
-    s = F.trim(text)
-    for pattern, to in _REWRITES:
-        s = F.regexp_replace(s, pattern, to)
-    s = F.when(F.trim(text).rlike(SPELLING), s)
-    return F.unix_micros(s.try_cast("timestamp"))
+
+    def micros(parts: Column) -> Column:
+        # a nought before the digits: an empty part is 0, and no failed cast is paid for
+        number = lambda i: F.concat(F.lit("0"), parts[i]).cast("bigint")
+        day = F.unix_date(F.substring(parts[0], 2, 10).try_cast("date")).cast("bigint")
+        h, mi, s, oh, om = (number(i) for i in (1, 2, 3, 6, 7))
+        offset = (oh * 60 + om) * F.when(parts[5] == "-", -1).otherwise(1)
+        fraction = F.rpad(F.substring(parts[4], 2, 6), 6, "0").cast("bigint")
+        real = (h < 24) & (mi < 60) & (s < 60) & (oh <= 18) & (om < 60)
+        return F.when(parts[0].startswith("\u0001"), F.when(real, (((day * 24 + h) * 60 + mi - offset) * 60 + s) * 1_000_000 + fraction))
+
+    return let(F.split(F.regexp_replace(F.btrim(text, F.lit(_BLANKS)), SPELLING, _PARTS), r"\|"), micros)
 
 
 def micros_of(ts: Column) -> Column:
@@ -52,6 +50,4 @@ def text_of(us: Column) -> Column:
 
 def ntz_of(us: Column) -> Column:
     """TIMESTAMP_NTZ of microseconds since the epoch."""
-    return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), (us / F.lit(1000000).cast("decimal(20,0)")).cast("decimal(18,6)")
-    )
+    return F.timestamp_add("MICROSECOND", us, F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))

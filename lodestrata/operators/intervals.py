@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.functions.times import ntz_of, parse_micros, text_of
+from lodestrata.functions.text import strip_blanks
+from lodestrata.functions.times import parse_micros, text_of
 
 #: An open end: 10000-01-01, after every year-9999 value.
 OPEN_US = 253_402_300_800_000_000
@@ -39,12 +40,15 @@ def merge_intervals(df: DataFrame, keys: list[str], start_us: str, end_us: str,
     or whose end isn't after the start don't count. Null keys form an entity of their own. Repeated rows change
     nothing; an empty table gives no rows; other columns of `df` are ignored, whatever their names.
     """
+    # sessions are merged in each map task before the shuffle, so that a hot entity's block arrives as few rows
+    df.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     rows = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(start_us).alias("a"), F.col(end_us).alias("b"))
     ks = [f"k{i}" for i in range(len(keys))]
     rows = rows.where("b > a").withColumn("block", F.floor(F.col("a") / block_us))
+    length = ((F.col("b") - F.col("a")).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
     sessions = (
-        rows.withColumn("at", ntz_of(F.col("a")))
-        .groupBy(*ks, "block", F.session_window("at", F.concat((F.col("b") - F.col("a")).cast("string"), F.lit(" microseconds"))))
+        rows.withColumn("at", F.timestamp_micros("a"))
+        .groupBy(*ks, "block", F.session_window("at", F.make_interval(secs=length)))
         .agg(F.min("a").alias("a"), F.max("b").alias("b"))
         .select(*ks, "block", "a", "b")
     )
@@ -94,11 +98,11 @@ def statement_periods(triples: DataFrame, block_us: int = 7 * 86_400_000_000) ->
 
     A null, blank or year-9999 end is open and comes out as ''. Statements without a real start don't count.
     """
-    until = F.trim("valid_until")
-    end = F.when(until.isNull() | (until == ""), F.lit(OPEN_US))
-    parsed = parse_micros(F.col("valid_until"))
-    end = end.when(until.startswith("9999") & parsed.isNotNull(), F.lit(OPEN_US)).otherwise(parsed)
-    rows = triples.select("subject", "predicate", parse_micros(F.col("valid_from")).alias("a"), end.alias("b"))
+    # each text is read once: what a generator makes is not computed again by the filters above it
+    read = F.struct(parse_micros(F.col("valid_from")).alias("a"), parse_micros(F.col("valid_until")).alias("end"), strip_blanks(F.col("valid_until")).alias("until"))
+    rows = triples.select("subject", "predicate", F.inline(F.array(read)))
+    is_open = F.col("until").isNull() | (F.col("until") == "") | (F.col("until").startswith("9999") & F.col("end").isNotNull())
+    rows = rows.select("subject", "predicate", "a", F.when(is_open, F.lit(OPEN_US)).otherwise(F.col("end")).alias("b"))
     merged = merge_intervals(rows, ["subject", "predicate"], "a", "b", block_us)
     return merged.select(
         "subject",
