@@ -12,12 +12,12 @@ def let(value: Column, then) -> Column:
 
 
 #: Blanks of any kind, the zero-width ones among them.
-BLANK = r"[\s\p{Z}\x{0085}\x{200B}\x{2060}\x{FEFF}]"
+BLANKS = " \t\n\x0b\x0c\r\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
 
 def strip_blanks(text: Column) -> Column:
     """The text without blanks of any kind (space, tab, line end, no-break space and so on) around it."""
-    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def record_id(content: Column) -> Column:
