@@ -40,6 +40,7 @@ _EMAIL = re.compile(
     r"(?<![\w.+\-])[\w.+\-]*\w(?:@|\s?[\[(](?:at|a)[\])]\s?|\sat\s)\w[\w\-]*(?:(?:\.|\s?[\[(](?:dot|punkt|point)[\])]\s?|\sdot\s)\w[\w\-]*)+",
     re.I,
 )
+_AT = re.compile(r"@|[\[(](?:at|a)[\])]|\sat\s", re.I)
 _NUMBER = re.compile(r"(?<![\w@])(?:\(?\+|\()?\d[\d().\-‑/   ]{4,}\d(?:\s*(?:ext|x)\.?\s*\d+)?|(?<!\w)pn[ \-]?\d{3}[ \-]?\d{2}[ \-]?\d{4}(?!\w)|(?<![\w@])\d{6,15}(?:\s*(?:ext|x)\.?\s*\d+)?", re.I)
 _WAY = (
     r"(?:street|st|road|rd|avenue|ave|lane|ln|drive|dr|close|crescent|court|ct|place|terrace|square|boulevard|blvd|way)\b\.?"
@@ -84,7 +85,10 @@ class Text:
         starts = {a: i for i, (a, _) in enumerate(self.spans)}
         ends = {b: i + 1 for i, (_, b) in enumerate(self.spans)}
         self.found: list[tuple[int, int, str]] = []
+        digits = any(c.isdigit() for c in text)
         for kinds, pattern in ((("email",), _EMAIL), (("phone", "id_number"), _NUMBER), (("street_address",), _STREET)):
+            if not (digits if pattern is not _EMAIL else _AT.search(text)):
+                continue
             for m in pattern.finditer(text):
                 i, j = starts.get(m.start()), ends.get(m.end())
                 if i is not None and j is not None:
@@ -96,8 +100,10 @@ class Text:
     def names(self, model: Model | None) -> Iterator[tuple[int, int]]:
         """Runs of up to four name words, with initials, titles, particles and the order 'Last, First'."""
         n, words, lower = len(self.words), self.words, self.lower
+        able = [w[0].isupper() or (w[0].isalpha() and (model is None or model.knows(low))) for w, low in zip(words, lower)]
         for i in range(n):
-            if not words[i][0].isalpha() or (i and words[i - 1] in "@+_/" and self.spans[i - 1][1] == self.spans[i][0]):
+            # a name begins with a word that has a capital or is known, a title or a particle, and ends with one of the first
+            if not (able[i] or lower[i] in _TITLES or lower[i] in _PARTICLES) or (i and words[i - 1] in "@+_/" and self.spans[i - 1][1] == self.spans[i][0]):
                 continue
             j, count, capitals, comma, likely = i, 0, 0, False, model is None
             while j < n and count < 4:
@@ -110,7 +116,7 @@ class Text:
                     j += 1
                     if j < n and words[j] == "." and (len(w) == 1 or lower[j - 1] in _TITLES):
                         j += 1
-                    if likely and lower[j - 1] not in _PARTICLES and not (j < n and words[j] in "@" and self.spans[j][0] == self.spans[j - 1][1]):
+                    if likely and (words[j - 1] == "." or able[j - 1]) and lower[j - 1] not in _PARTICLES and not (j < n and words[j] in "@" and self.spans[j][0] == self.spans[j - 1][1]):
                         yield i, j
                 elif w == "," and not comma and count:
                     comma = True

@@ -10,6 +10,7 @@ from lodestrata.llm.leakage import leaked_items
 from lodestrata.llm.personal import find_personal
 from lodestrata.llm.subjects import assign_subjects
 from lodestrata.llm.tokenize import token_ids
+from lodestrata.session import ensure_checkpoint_dir
 from lodestrata.sources.tables import latest, table
 
 
@@ -19,11 +20,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts and episodes, each once, behind a checkpoint: name words, sample and search read them one after the other."""
+    ensure_checkpoint_dir(spark)
     facts = latest(table(spark, sf_dir, "facts", "id", "content", "updated_at"), "id", "updated_at")
     episodes = latest(table(spark, sf_dir, "episodes", "episode_id", "summary", "created_at"), "episode_id", "created_at")
     return facts.select(F.lit("facts").alias("src"), F.col("id").alias("rec_id"), F.col("content").alias("text")).unionByName(
         episodes.select(F.lit("episodes").alias("src"), F.col("episode_id").alias("rec_id"), F.col("summary").alias("text"))
-    )
+    ).checkpoint()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
