@@ -17,7 +17,7 @@ PERSONAL = (
     ("phone_intl", r"\b\+?[1-9][0-9]{1,2}[-. ]?\(?[0-9]{1,4}\)?[-. ]?[0-9]{3,4}[-. ]?[0-9]{3,4}\b", 0.7),
     ("id_number", r"\b[0-9]{13}\b", 0.6),
     ("api_key", r"(?i)\b(sk|pk|api|key|token)[_-][A-Za-z0-9]{20,}\b", 0.9),
-    ("password", r"(?i)(password|passwd|pwd|secret)[ \t]*[=:][ \t]*[^ \t\r\n]+", 0.85),
+    ("password", r"(?i)(password|passwd|pwd|secret)\s*[=:]\s*\S+", 0.85),
     ("ip_address", r"\b([0-9]{1,3}\.){3}[0-9]{1,3}\b", 0.5),
     ("credit_card", r"\b([0-9][ -]*){13,16}\b", 0.6),
 )
@@ -25,10 +25,10 @@ PERSONAL = (
 # fixed values: credentials that must never be stored
 SECRETS = (
     r"(?i)\b(sk|pk)[_-][A-Za-z0-9_-]{10,}\b",
-    r"(?i)\b(api[_-]?key|access[_-]?token|secret[_-]?key)[ \t]*[=:][ \t]*[^ \t\r\n]+",
+    r"(?i)\b(api[_-]?key|access[_-]?token|secret[_-]?key)\s*[=:]\s*\S+",
     r"(?i)-----BEGIN (RSA |OPENSSH |EC )?PRIVATE KEY-----",
-    r"(?i)\b(password|passwd|pwd)[ \t]*[=:][ \t]*[^ \t\r\n]+",
-    r"(?i)\b(aws_secret_access_key|xox[baprs]-)[^ \t\r\n]+",
+    r"(?i)\b(password|passwd|pwd)\s*[=:]\s*\S+",
+    r"(?i)\b(aws_secret_access_key|xox[baprs]-)\S+",
     r"(?i)\bsk_live_[A-Za-z0-9]+\b",
 )
 

@@ -91,15 +91,24 @@ def wikilinks(text: Column) -> Column:
 
 
 def link_contexts(text: Column, radius: int = 40) -> Column:
-    """(target, context) of each link, the context being the text around it."""
-    parts = F.split(text, r"\[\[")
-    return F.transform(
-        F.filter(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.element_at(parts, i + 1).contains("]]") & (i < F.size(parts))),
-        lambda i: F.struct(
-            F.regexp_extract(F.element_at(parts, i + 1), r"^([^\]|]+)", 1).alias("target"),
-            F.concat(F.substring(F.element_at(parts, i), -radius, radius), F.substring(F.element_at(parts, i + 1), 1, radius)).alias("context"),
-        ),
-    )
+    """(target, context) of each link in order: the link with up to `radius` characters on each side, on one line, trimmed."""
+    link = r"\[\[[^\]|]+?(?:\|[^\]]+)?\]\]"
+    links = F.regexp_extract_all(text, F.lit(link), 0)
+    # what stands between the links and the links by turns: link i is piece 2i
+    pieces = F.flatten(F.zip_with(F.split(text, link), F.concat(links, F.array(F.lit(""))), lambda p, q: F.array(p, q)))
+
+    def around(pieces: Column) -> Column:
+        def one(i: Column) -> Column:
+            before = F.array_join(F.slice(pieces, F.lit(1), 2 * i - 1), "")
+            after = F.array_join(F.slice(pieces, 2 * i + 1, F.size(pieces)), "")
+            whole = F.concat(F.substring(before, -radius, radius), F.element_at(pieces, 2 * i), F.substring(after, 1, radius))
+            target = F.regexp_extract(F.element_at(pieces, 2 * i), r"^\[\[([^\]|]+)", 1)
+            return F.struct(target.alias("target"), strip_blanks(F.replace(whole, F.lit("\n"), F.lit(" "))).alias("context"))
+
+        n = (F.size(pieces) / 2).cast("int") - 1
+        return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i <= n), one)
+
+    return let(pieces, around)
 
 
 def html_text(html: Column) -> Column:
@@ -123,11 +132,12 @@ def key_sentences(text: Column, most: int = 5) -> Column:
     return F.slice(F.filter(parts, lambda s: (F.length(s) > 20) & (F.length(s) < 700)), 1, most)
 
 
-def capitalised_entities(text: Column, stop_words: list[str], most: int = 15) -> Column:
+def capitalised_entities(text: Column, stop_words: list[str], most: int | None = 15) -> Column:
     """Distinct runs of up to four capitalised words, sorted, without those that begin with a stop word."""
     found = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-zA-Z]+([ \t\r\n]+[A-Z][a-zA-Z]+){0,3})\b"), 1)
     keep = F.filter(found, lambda e: (F.length(e) > 3) & ~F.regexp_extract(e, "^[A-Za-z]+", 0).isin(stop_words))
-    return F.slice(F.array_sort(F.array_distinct(keep)), 1, most)
+    names = F.array_sort(F.array_distinct(keep))
+    return names if most is None else F.slice(names, 1, most)
 
 
 def line_hits(text: Column, pattern: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import wikilinks
+from lodestrata.session import ensure_checkpoint_dir
 
 
 def note_links(notes: DataFrame, text: str = "body_preview") -> DataFrame:
@@ -51,7 +52,9 @@ def reached(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
 
     seeds: node. edges: node, other, in both directions. One join for each step, on the frontier only.
     """
-    pairs = edges.select("node", "other").where("node IS NOT NULL AND other IS NOT NULL AND node <> other").distinct()
+    ensure_checkpoint_dir(edges.sparkSession)
+    # each step starts from what the last one wrote: the plan doesn't grow with the steps
+    pairs = edges.select("node", "other").where("node IS NOT NULL AND other IS NOT NULL AND node <> other").distinct().checkpoint()
     front = seeds.select(F.col("node").alias("seed"), "node").distinct()
     seen = front.withColumn("hops", F.lit(0))
     for step in range(1, hops + 1):
@@ -60,6 +63,7 @@ def reached(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
             .select("seed", F.col("other").alias("node"))
             .distinct()
             .join(seen, ["seed", "node"], "left_anti")
+            .checkpoint()
         )
         seen = seen.unionByName(front.withColumn("hops", F.lit(step)))
     return seen
@@ -70,7 +74,9 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, most: int = 4) -> DataFra
 
     Only the smallest path to each node is carried on, so a step's rows are bounded by seeds times nodes.
     """
-    pairs = edges.select("node", "other").where("node IS NOT NULL AND other IS NOT NULL AND node <> other").distinct()
+    ensure_checkpoint_dir(edges.sparkSession)
+    # each step starts from what the last one wrote: the plan doesn't grow with the steps
+    pairs = edges.select("node", "other").where("node IS NOT NULL AND other IS NOT NULL AND node <> other").distinct().checkpoint()
     front = seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("path", F.array("node"))
     seen = front.withColumn("hops", F.lit(0))
     for step in range(1, most + 1):
@@ -80,6 +86,7 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, most: int = 4) -> DataFra
             .groupBy("seed", "node")
             .agg(F.min("path").alias("path"))
             .join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+            .checkpoint()
         )
         seen = seen.unionByName(front.withColumn("hops", F.lit(step)))
     return seen.select("seed", "node", "hops", "path")

@@ -249,5 +249,5 @@ def map_of_content(spark: SparkSession, sf: str) -> DataFrame:
 @Q.add()
 def store_links(spark: SparkSession, sf: str) -> DataFrame:
     n = notes(spark, sf, "title", "body_preview")
-    links = n.select(F.col("note_id").alias("source_id"), F.explode(link_contexts(F.col("body_preview"))).alias("x")).select("source_id", "x.*")
-    return links.groupBy("source_id", "target").agg(F.min("context").alias("context"))
+    links = n.select(F.col("note_id").alias("source_id"), F.posexplode(link_contexts(F.col("body_preview"))).alias("pos", "x")).select("source_id", "pos", "x.*")
+    return links.groupBy("source_id", "target").agg(F.min_by("context", "pos").alias("context"))

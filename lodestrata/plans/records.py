@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.functions.privacy import personal_types
+from lodestrata.functions.privacy import PERSONAL, personal_types
 from lodestrata.functions.text import parity_key, record_id
 from lodestrata.functions.times import micros_of, parse_micros, text_of
 from lodestrata.operators import changes
@@ -126,16 +126,18 @@ def _days(spark: SparkSession, sf: str) -> DataFrame:
 @Q.add(
     """, d AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN count(*) FILTER (WHERE NOT coalesce(ok, false)) / count(*) <= 0.05 THEN 'OK' ELSE 'WARN' END AS status FROM a WHERE ts IS NOT NULL GROUP BY 1),
 i AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM d WHERE status = 'OK')
-SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS days, count(*) >= 7 AS gate FROM i GROUP BY island""",
+SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS days, max(day) = (SELECT max(day) FROM d) AS current, max(day) = (SELECT max(day) FROM d) AND count(*) >= 7 AS gate FROM i GROUP BY island""",
     "a",
 )
 def stability_streaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of clean days; only the run that ends with the log's newest day can open the gate."""
     # one row per day is left, so the global order is small whatever the log's size
-    ok = _days(spark, sf).where("status = 'OK'")
+    days = _days(spark, sf)
     island = F.date_sub("day", F.row_number().over(W.orderBy("day")))
-    return ok.withColumn("island", island).groupBy("island").agg(
-        F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("days"), (F.count(F.lit(1)) >= 7).alias("gate")
-    ).drop("island")
+    runs = days.where("status = 'OK'").withColumn("island", island).groupBy("island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("days"))
+    current = F.col("last_day") == F.col("newest")
+    runs = runs.crossJoin(F.broadcast(days.agg(F.max("day").alias("newest"))))
+    return runs.select("first_day", "last_day", "days", current.alias("current"), (current & (F.col("days") >= 7)).alias("gate"))
 
 
 @Q.add(
@@ -360,15 +362,11 @@ def parity_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @Q.add(
-    """, p AS (SELECT id, CASE WHEN regexp_matches(content, '(?i)\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b') THEN 'email' END AS a, CASE WHEN regexp_matches(content, '\\b[0-9]{13}\\b') THEN 'id_number' END AS b,
-CASE WHEN regexp_matches(content, '\\b([0-9]{1,3}\\.){3}[0-9]{1,3}\\b') THEN 'ip_address' END AS c FROM f)
-SELECT id, concat_ws(',', a, b, c) AS types FROM p WHERE coalesce(a, b, c) IS NOT NULL""",
-    "f",
+    f"""SELECT * FROM (SELECT id, concat_ws(',', {", ".join(f"CASE WHEN regexp_matches(content, '{p}') THEN '{kind}' END" for kind, p, _ in PERSONAL)}) AS types FROM f) WHERE types <> ''""", "f"
 )
 def pii_flags(spark: SparkSession, sf: str) -> DataFrame:
     f = facts(spark, sf, "content")
-    kinds = F.filter(personal_types(F.col("content")), lambda x: x.isin("email", "id_number", "ip_address"))
-    return f.select("id", F.array_join(kinds, ",").alias("types")).where("types <> ''")
+    return f.select("id", F.array_join(personal_types(F.col("content")), ",").alias("types")).where("types <> ''")
 
 
 @Q.add(
@@ -394,11 +392,12 @@ def index_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @Q.add(
-    """SELECT episode_id, title FROM e WHERE source_session IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f WHERE f.session_id = e.source_session)""", "ef"
+    """SELECT episode_id, title FROM e WHERE source_session IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f WHERE f.session_id = e.source_session AND f.importance >= 0.9)""", "ef"
 )
 def episodes_without_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Episodes whose session left no fact of importance."""
     e = episodes(spark, sf, "title", "source_session").where("source_session IS NOT NULL")
-    sessions = facts(spark, sf, "session_id").select(F.col("session_id").alias("source_session")).where("source_session IS NOT NULL").distinct()
+    sessions = facts(spark, sf, "session_id", "importance").where("importance >= 0.9").select(F.col("session_id").alias("source_session")).where("source_session IS NOT NULL").distinct()
     return e.join(sessions, "source_session", "left_anti").select("episode_id", "title")
 
 

@@ -29,7 +29,7 @@ def sensitivity_tier(spark: SparkSession, sf: str) -> DataFrame:
 
 @Q.add(
     """, x AS (SELECT *, CASE WHEN lower(trim(sensitivity)) IN ('public', 'internal', 'sensitive', 'secret') THEN lower(trim(sensitivity)) WHEN domain IN ('Finance', 'People', 'Wedding') THEN 'sensitive' WHEN domain = 'Test' THEN 'public' ELSE 'internal' END AS tier,
-regexp_matches(coalesce(content, ''), '(?i)\\b(sk|pk)[_-][A-Za-z0-9_-]{10,}\\b|\\b(api[_-]?key|access[_-]?token|secret[_-]?key)[ \\t]*[=:][ \\t]*[^ \\t\\r\\n]+|\\b(password|passwd|pwd)[ \\t]*[=:][ \\t]*[^ \\t\\r\\n]+|-----BEGIN (RSA |OPENSSH |EC )?PRIVATE KEY-----|\\b(aws_secret_access_key|xox[baprs]-)[^ \\t\\r\\n]+|\\bsk_live_[A-Za-z0-9]+\\b') AS secret FROM f)
+regexp_matches(coalesce(content, ''), '(?i)\\b(sk|pk)[_-][A-Za-z0-9_-]{10,}\\b|\\b(api[_-]?key|access[_-]?token|secret[_-]?key)\\s*[=:]\\s*\\S+|\\b(password|passwd|pwd)\\s*[=:]\\s*\\S+|-----BEGIN (RSA |OPENSSH |EC )?PRIVATE KEY-----|\\b(aws_secret_access_key|xox[baprs]-)\\S+|\\bsk_live_[A-Za-z0-9]+\\b') AS secret FROM f)
 SELECT domain, source, CASE WHEN tier = 'secret' OR secret THEN 'block' WHEN source IN ('auto_extracted', 'auto_extract') THEN 'quarantine' WHEN source IN ('promoted', 'pending_promoted') THEN 'allow' WHEN domain IN ('Finance', 'People') AND source = 'conversation' THEN 'quarantine' ELSE 'allow' END AS action, count(*) AS n FROM x GROUP BY ALL""",
     "f",
 )
@@ -75,10 +75,10 @@ def note_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @Q.add(
-    """SELECT doc_id, len(list_filter(string_split_regex(lower(regexp_replace(text, '<[^>]+>', ' ', 'g')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS words FROM documents WHERE text IS NOT NULL AND doc_kind = 'clip' AND NOT regexp_matches(text, '(?i)<(script|style)')"""
+    """SELECT doc_id, len(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(text, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]+>', ' ', 'g')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS words FROM documents WHERE text IS NOT NULL AND doc_kind = 'clip'"""
 )
 def html_words(spark: SparkSession, sf: str) -> DataFrame:
-    d = _docs(spark, sf).where("text IS NOT NULL AND doc_kind = 'clip'").where(~F.col("text").rlike("(?i)<(script|style)"))
+    d = _docs(spark, sf).where("text IS NOT NULL AND doc_kind = 'clip'")
     return d.select("doc_id", F.size(tx.tokens(tx.html_text(F.col("text")))).cast("bigint").alias("words"))
 
 
@@ -125,21 +125,46 @@ def document_links(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("link").agg(F.count(F.lit(1)).alias("n"))
 
 
+_TODAY = f"DATE '{AS_OF[:10]}'"
+_SPANS_SQL = ", ".join(
+    f"('{phrase}', {a}, {b})"
+    for phrase, a, b in (
+        ("yesterday", f"{_TODAY} - 1", f"{_TODAY} - 1"), ("today", _TODAY, _TODAY),
+        ("last week", f"CAST(date_trunc('week', {_TODAY}) AS DATE) - 7", f"CAST(date_trunc('week', {_TODAY}) AS DATE) - 1"),
+        ("this week", f"CAST(date_trunc('week', {_TODAY}) AS DATE)", f"CAST(date_trunc('week', {_TODAY}) AS DATE) + 6"),
+        ("last month", f"CAST(date_trunc('month', {_TODAY}) - INTERVAL 1 MONTH AS DATE)", f"CAST(date_trunc('month', {_TODAY}) AS DATE) - 1"),
+        ("this month", f"CAST(date_trunc('month', {_TODAY}) AS DATE)", _TODAY),
+        ("last year", f"CAST(date_trunc('year', {_TODAY}) - INTERVAL 1 YEAR AS DATE)", f"CAST(date_trunc('year', {_TODAY}) AS DATE) - 1"),
+        ("3 days ago", f"{_TODAY} - 3", f"{_TODAY} - 3"), ("2 weeks ago", f"{_TODAY} - 14", f"{_TODAY} - 14"), ("1 month ago", f"{_TODAY} - 30", f"{_TODAY} - 30"),
+        ("2 years ago", f"{_TODAY} - 730", f"{_TODAY} - 730"), ("in 2025", "DATE '2025-01-01'", "DATE '2025-12-31'"), ("plain", "NULL", "NULL"),
+    )
+)
+
+
 @Q.add(
-    f""", q AS (SELECT DISTINCT action || ' in ' || lower(monthname(ts)) AS query, month(ts) AS m FROM a WHERE ts IS NOT NULL)
-SELECT query, make_date(CASE WHEN m > month(DATE '{AS_OF[:10]}') THEN 2025 ELSE 2026 END, m, 1) AS from_date, last_day(make_date(CASE WHEN m > month(DATE '{AS_OF[:10]}') THEN 2025 ELSE 2026 END, m, 1)) AS to_date, split_part(query, ' in ', 1) AS cleaned FROM q""",
+    f""", fixed(phrase, from_date, to_date) AS (VALUES {_SPANS_SQL}), d AS (SELECT DISTINCT action, CAST(ts AS DATE) AS day FROM a WHERE ts IS NOT NULL),
+p AS (SELECT action, phrase, from_date, to_date FROM (SELECT DISTINCT action FROM d), fixed
+  UNION SELECT action, 'in ' || lower(monthname(day)), make_date(CASE WHEN month(day) > month({_TODAY}) THEN 2025 ELSE 2026 END, month(day), 1), last_day(make_date(CASE WHEN month(day) > month({_TODAY}) THEN 2025 ELSE 2026 END, month(day), 1)) FROM d
+  UNION SELECT action, 'last ' || lower(dayname(day)), {_TODAY} - CAST((isodow({_TODAY}) - isodow(day) + 6) % 7 + 1 AS INTEGER), {_TODAY} - CAST((isodow({_TODAY}) - isodow(day) + 6) % 7 + 1 AS INTEGER) FROM d)
+SELECT action || ' ' || phrase AS query, from_date, to_date, CASE WHEN phrase = 'plain' THEN action || ' plain' ELSE action END AS cleaned FROM p""",
     "a",
 )
 def date_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every action of the log asked for with a phrase of each family, months and weekdays as the log has them."""
     a = audit(spark, sf, "action").where("ts IS NOT NULL")
-    q = a.select(F.concat("action", F.lit(" in "), F.lower(F.date_format("ts", "MMMM"))).alias("query")).distinct()
+    phrase = ["yesterday", "today", "last week", "this week", "last month", "this month", "last year", "3 days ago", "2 weeks ago", "1 month ago", "2 years ago", "in 2025", "plain"]
+    phrase = F.array(*[F.lit(x) for x in phrase], F.concat(F.lit("in "), F.lower(F.date_format("ts", "MMMM"))), F.concat(F.lit("last "), F.lower(F.date_format("ts", "EEEE"))))
+    q = a.select("action", F.explode(phrase).alias("phrase")).distinct().select(F.concat_ws(" ", "action", "phrase").alias("query"))
     span = phrases.date_range(F.col("query"), F.to_date(F.lit(AS_OF[:10])))
     return q.select("query", span.alias("x"), phrases.without_phrases(F.col("query")).alias("cleaned")).select("query", "x.from_date", "x.to_date", "cleaned")
 
 
 @Q.add()
 def extracted_facts(spark: SparkSession, sf: str) -> DataFrame:
-    found = extract.facts_in(_docs(spark, sf).where("text IS NOT NULL"), "doc_id", F.col("text"))
+    # the dictionary of subject areas, a short fixed table
+    areas = [r.label for r in table(spark, sf, "subjects", "label").where("label IS NOT NULL").distinct().collect()]
+    own = (extract.area_patterns(areas, "Knowledge", 0.6, "area"),) if areas else ()
+    found = extract.facts_in(_docs(spark, sf).where("text IS NOT NULL"), "doc_id", F.col("text"), own=own)
     return extract.unknown(found, table(spark, sf, "facts", "id"))
 
 
@@ -190,6 +215,6 @@ def parity_keys(spark: SparkSession, sf: str) -> DataFrame:
 def unknown_entities(spark: SparkSession, sf: str) -> DataFrame:
     """(entity, docs): capitalised names in documents that no note has as its title."""
     d = _docs(spark, sf).where("text IS NOT NULL")
-    found = d.select("doc_id", F.explode(tx.capitalised_entities(F.col("text"), ["The", "This", "That"], 1000)).alias("entity"))
+    found = d.select("doc_id", F.explode(tx.capitalised_entities(F.col("text"), ["The", "This", "That"], None)).alias("entity"))
     titles = notes(spark, sf, "title").select(F.regexp_replace("title", " [0-9]+$", "").alias("entity")).where("entity IS NOT NULL").distinct()
     return found.groupBy("entity").agg(F.count(F.lit(1)).alias("docs")).join(titles, "entity", "left_anti")

@@ -32,9 +32,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir; make one only where it is unset (tests)."""
+    """Use the shared folder the cluster names in spark.checkpoint.dir; make one only in local mode (tests).
+
+    On a cluster a folder of one machine would be lost with it, so there the setting must be given.
+    """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.mkdtemp(prefix="lodestrata-"), "checkpoints"))

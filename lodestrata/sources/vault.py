@@ -54,9 +54,10 @@ def read_pile(spark: SparkSession, root: str) -> DataFrame:
 
 def read_gate_log(spark: SparkSession, path: str) -> DataFrame:
     """(day, status) of 'date,status' lines; malformed lines are left out, a day's last line wins."""
-    lines = spark.read.text(path).select(F.regexp_extract_all("value", F.lit(r"^(\d{4}-\d{2}-\d{2}),\s*(\w+)\s*$"), 0).alias("m"), "value").where("size(m) = 1")
-    rows = lines.select(F.substring_index("value", ",", 1).try_cast("date").alias("day"), F.upper(F.trim(F.substring_index("value", ",", -1))).alias("status"))
-    return rows.where("day IS NOT NULL").groupBy("day").agg(F.max("status").alias("status"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
+    lines = lines.where(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2},\s*\w+\s*$"))
+    rows = lines.select("path", "pos", F.substring_index("value", ",", 1).try_cast("date").alias("day"), F.upper(F.trim(F.substring_index("value", ",", -1))).alias("status"))
+    return rows.where("day IS NOT NULL").groupBy("day").agg(F.max_by("status", F.struct("path", "pos")).alias("status"))
 
 
 RUN = T.StructType(

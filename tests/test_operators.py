@@ -43,7 +43,8 @@ def test_text_functions(spark):
     assert column(spark, tx.key_sentences, "Short. This one is surely long enough! And so is this second one?") == [["This one is surely long enough!", "And so is this second one?"]]
     assert column(spark, lambda c: tx.frontmatter(c), "---\ntitle: 'T'\nx: 1\n---\nbody", "no") == [{"title": "T", "x": "1"}, {}]
     assert column(spark, tx.body, "---\ntitle: T\n---\nbody") == ["body"]
-    assert [x.context for x in column(spark, tx.link_contexts, "before [[A]] after")[0]] == ["before A]] after"]
+    assert [x.context for x in column(spark, tx.link_contexts, "before [[A]] after")[0]] == ["before [[A]] after"]
+    assert [tuple(x) for x in column(spark, tx.link_contexts, "x" * 60 + "[[A]]\n[[B|b]] " + "y" * 60, "none", None)[0]] == [("A", "x" * 40 + "[[A]] [[B|b]] " + "y" * 31), ("B", "x" * 34 + "[[A]] [[B|b]] " + "y" * 39)]
 
 
 def test_privacy(spark):
@@ -239,7 +240,7 @@ def test_vault_round_trip(spark, tmp_path):
     got = {r.note_id: r for r in vault.read_notes(spark, str(tmp_path)).collect()}
     assert set(got) == {"Finance/a-note", "Finance/plain-file"} and got["Finance/a-note"].tags == ["x", "y z"]
     assert got["Finance/plain-file"].title == "Plain File" and got["Finance/a-note"].body == "See [[B]]."
-    (tmp_path / "gate.csv").write_text("2025-01-01,OK\nbroken\n2025-13-01,OK\n2025-01-02,warn\n")
+    (tmp_path / "gate.csv").write_text("2025-01-01,WARN\nbroken\n2025-13-01,OK\n2025-01-02,warn\n2025-01-01,OK\n")
     assert [(str(r.day), r.status) for r in vault.read_gate_log(spark, str(tmp_path / "gate.csv")).orderBy("day").collect()] == [("2025-01-01", "OK"), ("2025-01-02", "WARN")]
 
 
