@@ -69,6 +69,18 @@ def reached(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def directed_neighbours(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """(seed, node, way): neighbours of each seed, `outgoing` or `incoming`; one linked both ways is outgoing.
+
+    seeds: node. links: source_id, target_id. Links of a note to itself and nulls don't count.
+    """
+    pairs = links.where("source_id <> target_id").select("source_id", "target_id").distinct()
+    start = seeds.select(F.col("node").alias("seed")).distinct()
+    out = pairs.join(start, F.col("source_id") == F.col("seed")).select("seed", F.col("target_id").alias("node"), F.lit("outgoing").alias("way"))
+    back = pairs.join(start, F.col("target_id") == F.col("seed")).select("seed", F.col("source_id").alias("node"), F.lit("incoming").alias("way"))
+    return out.unionByName(back).groupBy("seed", "node").agg(F.max("way").alias("way"))
+
+
 def shortest_paths(seeds: DataFrame, edges: DataFrame, most: int = 4) -> DataFrame:
     """(seed, node, hops, path): one shortest path to each node within `most` steps, the smallest by node order.
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import tokens
+from lodestrata.functions.stem import folded, stems
+from lodestrata.functions.text import record_id, tokens
 
 #: Fixed: parameters of BM25, and the least weight of a term that most documents have.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -57,6 +60,30 @@ def bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str]) -> DataFr
     return counted.where(hit).crossJoin(F.broadcast(stats)).select("doc", score.alias("score"))
 
 
+def bm25_stemmed(docs: DataFrame, id_col: str, columns: list[str], query: str) -> DataFrame:
+    """(doc, score) over several columns by stems: a document answers if a stem of any column begins with that of a word.
+
+    Each word in each column counts as a phrase of its own, with its own document frequency; a document's length is
+    that of all columns. Null columns are empty. Stems are made in Arrow batches, once for each document.
+    """
+    words = folded(query)
+    stemmed = docs.select(F.col(id_col).alias("doc"), F.array(*[stems(F.col(c)) for c in columns]).alias("s"))
+    counts = {
+        f"tf{i}": F.size(F.filter(F.element_at("s", c + 1), _begins(w))).cast("double")
+        for i, (w, c) in enumerate((w, c) for w in words for c in range(len(columns)))
+    }
+    counted = stemmed.select("doc", F.size(F.flatten("s")).cast("double").alias("dl"), *[v.alias(k) for k, v in counts.items()])
+    stats = counted.agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(k) > 0, 1)).cast("double").alias(f"d{k}") for k in counts]
+    )
+    hit, score = F.lit(False), F.lit(0.0)
+    for k in counts:
+        hit = hit | (F.col(k) > 0)
+        score = score + _weight(F.col("n"), F.col(f"d{k}"), F.col(k), F.col("dl"), F.col("avgdl"))
+    # the statistics are one row
+    return counted.where(hit).crossJoin(F.broadcast(stats)).select("doc", score.alias("score"))
+
+
 def bm25_batch(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_id: str, query_text: Column, k: int) -> DataFrame:
     """(query, doc, score, rank): the best `k` documents of each query, ties by document id.
 
@@ -91,6 +118,34 @@ def any_term(text: Column, terms: list[str], prefix: bool = True) -> Column:
     return found
 
 
+def all_terms(text: Column, query: str) -> Column:
+    """Whether the text has every word of the query; marks in the query only separate words."""
+    found = F.lit(True)
+    for t in re.findall(r"[^\W_]+", query.lower()):
+        found = found & F.exists(tokens(text), _equals(t))
+    return F.coalesce(found, F.lit(False))
+
+
+def recalled(facts: DataFrame, query: str, from_date: date | None = None, to_date: date | None = None) -> DataFrame:
+    """The facts that answer the query, with `exact`: exact hits first, then by importance, ties by id.
+
+    A fact is exact if its content is the query or its id the query's. Others answer if a word of content, title or
+    tags begins like a word of the query; where no fact does, those that contain the query. Only facts created from
+    `from_date` to `to_date` count if they are given. Which of the two ways answers is one row, joined by broadcast.
+    """
+    if from_date is not None:
+        facts = facts.where((F.col("created_at") >= F.lit(from_date).cast("timestamp_ntz")) & (F.col("created_at") < F.date_add(F.lit(to_date), 1).cast("timestamp_ntz")))
+    columns = [F.col(c) for c in ("content", "title", "tags")]
+    word = F.lit(False)
+    for c in columns:
+        word = word | F.coalesce(any_term(c, query.lower().split()), F.lit(False))
+    exact = F.coalesce(F.col("content") == query, F.lit(False)) | F.coalesce(F.col("id") == record_id(F.lit(query)), F.lit(False))
+    rows = facts.withColumns({"exact": exact, "_word": word, "_like": like_any(columns, query)})
+    any_word = rows.agg(F.coalesce(F.max("_word"), F.lit(False)).alias("_any"))
+    hits = rows.crossJoin(F.broadcast(any_word)).where(F.col("exact") | F.when(F.col("_any"), F.col("_word")).otherwise(F.col("_like")))
+    return hits.drop("_word", "_like", "_any").orderBy(F.desc("exact"), F.desc_nulls_last("importance"), "id")
+
+
 def phrase(text: Column, words: list[str]) -> Column:
     """Whether the words stand in the text in a row, the last one as a prefix."""
     joined = F.concat(F.lit(" "), F.array_join(tokens(text), " "))

@@ -46,12 +46,14 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(*[f"{base}/out/batch={n}" for n in (written if mode == "append" else written[-1:])])
 
 
-def once(stream: DataFrame, key: str, at: str) -> DataFrame:
+def once(stream: DataFrame, at: str) -> DataFrame:
     """Each record once, however often and in whatever order it is delivered: no row is ever late.
 
-    The keys seen stay in the state, spread over its partitions; the tables tell no time after which one can't return.
+    Rows are one record if they are equal in all columns of the stream, so what comes out doesn't depend on which of
+    two came first. What was seen stays in the state, spread over its partitions; the tables tell no time after which
+    a record can't return.
     """
-    return stream.withColumn(at, F.col(at).cast("timestamp")).dropDuplicates([key])
+    return stream.withColumn(at, F.col(at).cast("timestamp")).dropDuplicates()
 
 
 def audit_counts(stream: DataFrame, width: str = "1 day") -> DataFrame:

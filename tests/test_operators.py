@@ -286,3 +286,58 @@ def test_links_titles_and_id_lists(spark):
     assert column(spark, lambda c: tx.linkified(c, ["Cat", "Cat Food"]), "Cat Food and [[Cat]], Cats, Cat.") == ["[[Cat Food]] and [[Cat]], Cats, [[Cat]]."]
     assert column(spark, lambda c: tx.stored_title(F.lit(" "), c), "One. Two.", "") == ["One.", "fact"]
     assert column(spark, lambda c: tx.id_list(c, ("a", "b"), 2), '{"b": ["x", "y", "z"]}', "bad", None) == [["x", "y"], [], []]
+
+
+@pytest.mark.parametrize("query", ["prompts routing sessions", "retention", "index backups"])
+def test_stemmed_search_equals_a_full_text_engine(spark, query):
+    import sqlite3
+
+    from lodestrata.functions.stem import folded
+    from lodestrata.plans.base import facts
+
+    rows = [tuple(r) for r in facts(spark, "/root/testdata/sf0.01", "content", "title", "tags").select("id", "content", "title", "tags").collect()]
+    # where both split words alike: plain letters
+    rows = [(i, *["".join(ch if ch.isascii() else " " for ch in c or "").replace("_", " ") for c in cells]) for i, *cells in rows if i]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(id UNINDEXED, content, title, tags, tokenize='porter unicode61')")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", rows)
+    asked = " OR ".join(f'{c}: "{w}"*' for w in query.split() for c in ("content", "title", "tags"))
+    want = dict(con.execute("SELECT id, -bm25(t) FROM t WHERE t MATCH ?", (asked,)).fetchall())
+    got = {r.doc: r.score for r in lexical.bm25_stemmed(spark.createDataFrame(rows, "id string, content string, title string, tags string"), "id", ["content", "title", "tags"], query).collect()}
+    assert len(want) > 20 and set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-9
+    vocabulary = sorted({w for r in rows for c in r[1:] for w in c.lower().split() if w.isalpha()})
+    con.execute("CREATE VIRTUAL TABLE w USING fts5(x, tokenize='porter unicode61')")
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(w, 'row')")
+    con.executemany("INSERT INTO w VALUES (?)", [(w,) for w in vocabulary])
+    assert {s for w in vocabulary for s in folded(w)} == {r[0] for r in con.execute("SELECT term FROM v")}
+
+
+def test_recalled(spark):
+    cols = "id string, content string, title string, tags string, importance double, created_at timestamp_ntz"
+    at = dt.datetime(2026, 5, 3)
+    f = spark.createDataFrame([("a", "red fox", None, None, 0.1, at), ("b", "foxes are red", None, None, 0.9, at), ("c", "blue", "red thing", None, None, at), ("d", "red fox", None, None, 1.0, dt.datetime(2025, 1, 1)), ("e", "infrared x", None, None, 0.5, None)], cols)
+    ask = lambda *a: [(r.id, r.exact) for r in lexical.recalled(f, *a).collect()]
+    assert ask("red fox", dt.date(2026, 5, 1), dt.date(2026, 5, 31)) == [("a", True), ("b", False), ("c", False)]
+    assert ask("nfrar") == [("e", False)] and ask("zzz") == [] and ask("blue") == [("c", True)]
+    assert spark.createDataFrame([("a prompt, a router",), (None,), ("prompt",)], "t string").where(lexical.all_terms(F.col("t"), "router? -prompt")).count() == 1
+
+
+def test_graph_plans_do_not_grow_with_steps(spark):
+    e = graph.both_ways(spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)], "s string, t string"), "s", "t")
+    seeds = spark.createDataFrame([("n0",)], "node string")
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(graph.shortest_paths(seeds, e, 6)) == joins(graph.reached(seeds, e, 6)) == 0
+    assert graph.shortest_paths(seeds, e, 6).count() == 7
+    d = graph.directed_neighbours(seeds, spark.createDataFrame([("n0", "a"), ("a", "n0"), ("b", "n0"), ("n0", "n0"), (None, "n0")], "source_id string, target_id string"))
+    assert sorted(map(tuple, d.collect())) == [("n0", "a", "outgoing"), ("n0", "b", "incoming")]
+
+
+def test_streams_do_not_depend_on_file_layout(spark, tmp_path):
+    from lodestrata.plans import streams
+
+    src = spark.read.parquet("/root/testdata/sf0.001/audit_log.parquet")
+    src.coalesce(1).write.parquet(f"{tmp_path}/one/audit_log.parquet")
+    src.repartition(12, F.rand(3)).write.parquet(f"{tmp_path}/many/audit_log.parquet")
+    for query in (streams.stream_audit_counts, streams.stream_sessions):
+        a, b = (sorted(map(str, query(spark, f"{tmp_path}/{x}").collect())) for x in ("one", "many"))
+        assert a == b and a
