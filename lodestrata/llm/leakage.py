@@ -165,3 +165,11 @@ def leaked_items(
     if block or found is None:
         one_pass(block)
     return found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
+
+
+def without_leaks(documents: DataFrame, leaks: DataFrame) -> DataFrame:
+    """The documents, all their columns kept, without those that an item leaked into.
+
+    leaks: `leaked_items`' rows. Documents with a null doc_id stay, as nothing is known to have leaked into them.
+    """
+    return documents.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*documents.columns)

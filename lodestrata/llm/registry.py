@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.format_duplicates import format_duplicates
-from lodestrata.llm.leakage import leaked_items
+from lodestrata.llm.leakage import leaked_items, without_leaks
 from lodestrata.llm.personal import find_personal
 from lodestrata.llm.subjects import assign_subjects
 from lodestrata.llm.tokenize import token_ids
@@ -47,6 +47,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_chars) of the corpus without the documents that evaluation texts leaked into."""
+    leaks = leaked_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
+    return without_leaks(table(spark, sf_dir, "documents", "doc_id", "n_chars"), leaks)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_subjects(
         table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "doc_labels", "doc_id", "subject"), table(spark, sf_dir, "subjects", "subject", "label")
@@ -54,7 +60,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict:

@@ -102,6 +102,13 @@ def test_leaks_equal_brute_force(spark, shard, block):
     assert got.where("doc_id = 500 AND item_id = 0").first().n_words >= 12
 
 
+def test_clean_corpus(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", "x"), (2, "a b", "y"), (None, "a b c d e", "z")], "doc_id bigint, text string, item_id string")
+    leaks = leakage.leaked_items(docs, spark.createDataFrame([(7, "a b c d e")], "item_id bigint, text string"), 5)
+    left = leakage.without_leaks(docs, leaks)
+    assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == ["a b", "a b c d e"]
+
+
 def test_leaks_of_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert leakage.leaked_items(docs, items).count() == 0
