@@ -104,7 +104,7 @@ def key_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 @Q.add(
     """, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, left(trim(line), 200) AS line FROM l WHERE contains(lower(left(trim(line), 200)), 'prompt template')""".lstrip(", ").replace("l AS", "WITH l AS", 1)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, left(trim(line), 200) AS line FROM l WHERE contains(lower(line), 'prompt template')""".lstrip(", ").replace("l AS", "WITH l AS", 1)
 )
 def line_search(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf).where("text IS NOT NULL")
