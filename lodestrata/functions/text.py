@@ -35,15 +35,18 @@ def parity_key(text: Column) -> Column:
     return F.sha2(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", ""), 256)
 
 
+# fixed values: markers of injected instructions
+MARKERS = (
+    r"</?\s*memory-context\s*>",
+    r"(?im)^\s*ignore (all |any )?(previous|prior|above) instructions\s*:?\s*",
+    r"(?im)^\s*system\s*:\s*",
+    r"(?im)^\s*developer\s*:\s*",
+)
+
+
 def sanitized(text: Column) -> Column:
     """Without injected instruction markers, blank lines collapsed, trimmed."""
-    # fixed values: markers of injected instructions
-    for marker in (
-        r"</?\s*memory-context\s*>",
-        r"(?im)^\s*ignore (all |any )?(previous|prior|above) instructions\s*:?\s*",
-        r"(?im)^\s*system\s*:\s*",
-        r"(?im)^\s*developer\s*:\s*",
-    ):
+    for marker in MARKERS:
         text = F.regexp_replace(text, marker, "")
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 

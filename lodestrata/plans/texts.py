@@ -13,6 +13,15 @@ from lodestrata.sources.tables import table
 
 Q = Queries()
 
+_TIER_SQL = """CASE WHEN lower(trim(sensitivity)) IN ('public', 'internal', 'sensitive', 'secret') THEN lower(trim(sensitivity)) WHEN domain IN ('Finance', 'People', 'Wedding') THEN 'sensitive' WHEN domain = 'Test' THEN 'public' ELSE 'internal' END"""
+
+
+def _replaced_sql(column: str, *steps: tuple[str, str]) -> str:
+    """The column with every pattern's matches replaced, one pattern after the other."""
+    for pattern, to in steps:
+        column = f"regexp_replace({column}, '{pattern}', '{to}', 'g')"
+    return column
+
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents", "doc_id", "text", "doc_kind")
@@ -39,20 +48,26 @@ def write_policy(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy("domain", "source", action.alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@Q.add()
+@Q.add(
+    f""", p AS (SELECT id, content, {_TIER_SQL} AS tier, split_part({_replaced_sql("content", (r"^[ \t\r\n]+|[ \t\r\n]+$", ""))}, chr(10), 1) AS head FROM f)
+SELECT id, CASE WHEN tier IN ('sensitive', 'secret') THEN '[sensitive] ' || CASE WHEN length(head) > 160 THEN left(head, 157) || '...' ELSE head END ELSE content END AS shown FROM p""",
+    "f",
+)
 def prefetch_view(spark: SparkSession, sf: str) -> DataFrame:
     f = facts(spark, sf, "content", "sensitivity", "domain")
     level = privacy.tier(F.col("sensitivity"), F.col("domain"))
     return f.select("id", privacy.prefetch_view(F.col("content"), level).alias("shown"))
 
 
-@Q.add()
+@Q.add(f"SELECT id, {_replaced_sql('content', *[(p, '[REDACTED]') for _, p, _ in privacy.PERSONAL])} AS content FROM f", "f")
 def pattern_redacted(spark: SparkSession, sf: str) -> DataFrame:
     f = facts(spark, sf, "content")
     return f.select("id", privacy.pattern_redacted(F.col("content")).alias("content"))
 
 
-@Q.add()
+@Q.add(
+    f"""SELECT id, {_replaced_sql("content", *[(m, "") for m in tx.MARKERS], (r"\n{3,}", "\n\n"), (r"^[ \t\r\n]+|[ \t\r\n]+$", ""))} AS content FROM f""", "f"
+)
 def sanitized_facts(spark: SparkSession, sf: str) -> DataFrame:
     return facts(spark, sf, "content").select("id", tx.sanitized(F.col("content")).alias("content"))
 
@@ -90,7 +105,9 @@ def entity_extract(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.explode(tx.capitalised_entities(F.col("text"), stop)).alias("entity"))
 
 
-@Q.add()
+@Q.add(
+    f"""SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS point FROM (SELECT doc_id, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_replaced_sql("x", (r"^[ \t\r]+|[ \t\r]+$", ""))}), lambda x: length(x) > 20)[1:15], lambda x: left(x, 200)) AS l FROM documents WHERE text IS NOT NULL)"""
+)
 def key_points(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf).where("text IS NOT NULL")
     return d.select("doc_id", F.posexplode(tx.key_points(F.col("text"))).alias("pos", "point"))
