@@ -426,6 +426,11 @@ def write_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return decided.groupBy("action", "tier", "exists").agg(F.count(F.lit(1)).alias("n"))
 
 
-@Q.add()
+@Q.add(
+    """, x AS (SELECT '[' || coalesce(domain, 'misc') || '] ' || coalesce(title, '') || ': ' || coalesce(body_preview, '') AS content, title,
+list_filter(['imported', lower(domain), lower(title)], lambda t: t IS NOT NULL) AS tags FROM n)
+SELECT left(sha256(content), 16) AS id, min(content) AS content, min(title) AS title, 0.85::DOUBLE AS importance, min(tags) AS tags, 'import' AS source FROM x GROUP BY 1""",
+    "n",
+)
 def imported_notes(spark: SparkSession, sf: str) -> DataFrame:
     return changes.imported(notes(spark, sf, "domain", "title", "body_preview"), "domain", "title", "body_preview")

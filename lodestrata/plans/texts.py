@@ -97,12 +97,23 @@ def html_words(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.size(tx.tokens(tx.html_text(F.col("text")))).cast("bigint").alias("words"))
 
 
-@Q.add()
+# fixed values: first words that begin no name
+NO_NAME = ["The", "This", "That", "These", "Those", "There", "When", "Where", "What", "Which", "While", "With", "From", "Into", "After", "Before", "Note", "Section", "And", "But"]
+
+
+def _entities_sql(stop: list[str]) -> str:
+    """Sorted distinct runs of up to four capitalised words in a document."""
+    words = ", ".join(f"'{w}'" for w in stop)
+    # a word with a letter beyond a to z is no run's part: there is no border within it
+    plain = r"regexp_replace(text, '[\p{L}\p{N}_]*[\x{C0}-\x{24F}\x{370}-\x{1FFF}\x{3040}-\x{D7FF}\x{FB00}-\x{FFDC}][\p{L}\p{N}_]*', '#', 'g')"
+    found = rf"regexp_extract_all({plain}, '\b([A-Z][a-zA-Z]+([ \t\r\n]+[A-Z][a-zA-Z]+){{0,3}})\b', 1)"
+    return f"list_sort(list_distinct(list_filter({found}, lambda e: length(e) > 3 AND regexp_extract(e, '^[A-Za-z]+') NOT IN ({words}))))"
+
+
+@Q.add(f"SELECT doc_id, unnest({_entities_sql(NO_NAME)}[1:15]) AS entity FROM documents WHERE text IS NOT NULL")
 def entity_extract(spark: SparkSession, sf: str) -> DataFrame:
-    # fixed values: first words that begin no name
-    stop = ["The", "This", "That", "These", "Those", "There", "When", "Where", "What", "Which", "While", "With", "From", "Into", "After", "Before", "Note", "Section", "And", "But"]
     d = _docs(spark, sf).where("text IS NOT NULL")
-    return d.select("doc_id", F.explode(tx.capitalised_entities(F.col("text"), stop)).alias("entity"))
+    return d.select("doc_id", F.explode(tx.capitalised_entities(F.col("text"), NO_NAME)).alias("entity"))
 
 
 @Q.add(
@@ -228,7 +239,11 @@ def parity_keys(spark: SparkSession, sf: str) -> DataFrame:
     return facts(spark, sf, "content").where("content IS NOT NULL").select("id", tx.parity_key(F.col("content")).alias("key"))
 
 
-@Q.add()
+@Q.add(
+    f""", x AS (SELECT DISTINCT doc_id, unnest({_entities_sql(["The", "This", "That"])}) AS entity FROM documents WHERE text IS NOT NULL)
+SELECT entity, count(*) AS docs FROM x WHERE entity NOT IN (SELECT regexp_replace(title, ' [0-9]+$', '') FROM n WHERE title IS NOT NULL) GROUP BY entity""",
+    "n",
+)
 def unknown_entities(spark: SparkSession, sf: str) -> DataFrame:
     """(entity, docs): capitalised names in documents that no note has as its title."""
     d = _docs(spark, sf).where("text IS NOT NULL")
