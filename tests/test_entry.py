@@ -51,4 +51,5 @@ def test_query_equals_sql(spark, oracle, name):
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     df = entry.queries()[name](spark, SF)
-    assert df.columns and df.collect() is not None
+    rows = df.collect()
+    assert rows and len(rows[0]) == len(df.columns)
