@@ -1,9 +1,8 @@
-"""Near-identical texts by Jaccard similarity of their words, exactly, by prefix filtering."""
+"""Near-identical texts by Jaccard similarity of their words, exactly, by prefix and position filtering."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -13,39 +12,75 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
-def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float = 0.8) -> DataFrame:
-    """(id, class_id, links): texts with one word set fall into a class named by its smallest id; `links` is the
-    number of other classes at least `threshold` similar.
+def _sets(df: DataFrame, id_col: str, text: Column, *more: str) -> DataFrame:
+    """(id, words, more...): the sorted distinct words of each text that has any."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")))
+    return df.select(F.col(id_col).alias("id"), words.alias("words"), *more).where("size(words) > 0")
+
+
+def _pairs(classes: DataFrame, threshold: float, wanted: Column) -> DataFrame:
+    """(x, y, score) of classes at least `threshold` similar for which `wanted`, over a.* and b.*, holds.
 
-    Two sets that similar share a word among their rarest n - ceil(threshold * n) + 1, so only these prefixes are
-    joined, with sizes that allow it, and every candidate is verified. Null and blank texts have no row.
+    classes: class_id, words, and columns that `wanted` reads. Two sets that similar share a word among their rarest
+    n - ceil(threshold * n) + 1. Only these prefixes are joined, as ids and positions; from the place of the first
+    shared word on, both sets must hold enough words still. The words themselves are fetched for what is left.
     """
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")))
-    sets = df.select(F.col(id_col).alias("id"), words.alias("words")).where("size(words) > 0")
-    classes = sets.groupBy("words").agg(F.min("id").alias("class_id"))
+    more = [c for c in classes.columns if c not in ("class_id", "words")]
     rarity = classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     # a class's words from the rarest on: word counts meet the words in one shuffle, the set is put together again
     ordered = (
-        classes.select("class_id", F.explode("words").alias("word"))
+        classes.select("class_id", *more, F.explode("words").alias("word"))
         .join(rarity, "word")
-        .groupBy("class_id")
+        .groupBy("class_id", *more)
         .agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("w"))
-        .select("class_id", F.transform("w", lambda x: x["word"]).alias("words"))
+        .select("class_id", *more, F.transform("w", lambda x: x["word"]).alias("words"))
         .withColumn("len", F.size("words"))
     )
     prefix = F.slice("words", F.lit(1), (F.col("len") - F.ceil(F.col("len") * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    heads = ordered.select("class_id", "words", "len", F.explode(prefix).alias("word"))
-    a, b = heads.alias("a"), heads.alias("b")
-    pairs = (
-        a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.class_id") < F.col("b.class_id")))
+    heads = ordered.select("class_id", *more, "len", F.posexplode(prefix).alias("pos", "word"))
+    needed = F.ceil((F.col("a.len") + F.col("b.len")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    candidates = (
+        heads.alias("a").join(heads.alias("b"), (F.col("a.word") == F.col("b.word")) & wanted)
         .where((F.col("a.len") >= F.col("b.len") * threshold - 1e-9) & (F.col("b.len") >= F.col("a.len") * threshold - 1e-9))
-        .where(jaccard(F.col("a.words"), F.col("b.words")) >= threshold - 1e-9)
+        .where(F.least(F.col("a.len") - F.col("a.pos"), F.col("b.len") - F.col("b.pos")) >= needed)
         .select(F.col("a.class_id").alias("x"), F.col("b.class_id").alias("y"))
         .distinct()
-    )
+    )
+    words = classes.select("class_id", "words")
+    both = candidates.join(words.select(F.col("class_id").alias("x"), F.col("words").alias("wx")), "x").join(words.select(F.col("class_id").alias("y"), F.col("words").alias("wy")), "y")
+    return both.select("x", "y", jaccard(F.col("wx"), F.col("wy")).alias("score")).where(F.col("score") >= threshold - 1e-9)
+
+
+def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float = 0.8) -> DataFrame:
+    """(id, class_id, links): texts with one word set fall into a class named by its smallest id; `links` is the
+    number of other classes at least `threshold` similar. Null and blank texts have no row.
+    """
+    sets = _sets(df, id_col, text)
+    classes = sets.groupBy("words").agg(F.min("id").alias("class_id"))
+    pairs = _pairs(classes, threshold, F.col("a.class_id") < F.col("b.class_id"))
     links = pairs.select(F.explode(F.array("x", "y")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     return (
         sets.join(classes, "words")
         .join(links, "class_id", "left")
         .select("id", "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
     )
+
+
+def most_similar(new: DataFrame, old: DataFrame, id_col: str, text: Column, threshold: float = 0.8) -> DataFrame:
+    """(id, match_id, score): for each new text the most similar old one, `threshold` at least; ties by the smallest id.
+
+    Texts with one word set are compared once, however many there are. Null and blank texts and texts without a match
+    have no row.
+    """
+    fresh = _sets(new, id_col, text).withColumn("fresh", F.lit(True))
+    known = _sets(old, id_col, text).withColumn("fresh", F.lit(False))
+    classes = fresh.unionByName(known).groupBy("words").agg(
+        F.min("id").alias("class_id"), F.bool_or("fresh").alias("asks"), F.bool_or(~F.col("fresh")).alias("answers"), F.min(F.when(~F.col("fresh"), F.col("id"))).alias("first_old")
+    )
+    # a class may hold new and old texts: the old ones are similar to the new ones of their own class by 1
+    pairs = _pairs(classes.select("class_id", "words", "asks", "answers"), threshold, F.col("a.asks") & F.col("b.answers") & (F.col("a.class_id") != F.col("b.class_id")))
+    own = classes.where("asks AND answers").select(F.col("class_id").alias("x"), F.col("class_id").alias("y"), F.lit(1.0).alias("score"))
+    named = pairs.unionByName(own).join(classes.select(F.col("class_id").alias("y"), "first_old"), "y")
+    best = named.groupBy(F.col("x").alias("class_id")).agg(F.min_by(F.struct("first_old", "score"), F.struct((-F.round("score", 6)).alias("s"), "first_old")).alias("r"))
+    found = best.join(classes.select("class_id", "words"), "class_id").select("words", F.col("r.first_old").alias("match_id"), F.round("r.score", 6).alias("score"))
+    return fresh.join(found, "words").select("id", "match_id", "score")
