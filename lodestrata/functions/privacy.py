@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import let
+
 # fixed values: sensitivity tiers, lowest first, and the tier a domain has by default
 TIERS = ("public", "internal", "sensitive", "secret")
 DOMAIN_TIER = {"Finance": "sensitive", "People": "sensitive", "Wedding": "sensitive", "Test": "public"}
@@ -46,6 +48,64 @@ def pattern_redacted(text: Column, mark: str = "[REDACTED]") -> Column:
     return text
 
 
+_SPAN = "struct<type: string, start: int, end: int, match: string, confidence: double>"
+
+
+def _spans_of(text: Column, kind: str, pattern: str, confidence: float) -> Column:
+    """One pattern's spans: the text is what stands between its matches and the matches in turn."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
+    pieces = F.zip_with(F.split(text, pattern, -1), matches, lambda before, m: F.struct(before.alias("before"), m.alias("m")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["before"])
+        end = start + F.length(x["m"])
+        span = F.struct(F.lit(kind).alias("type"), start.alias("start"), end.alias("end"), x["m"].alias("match"), F.lit(confidence).alias("confidence"))
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    return F.aggregate(F.filter(pieces, lambda x: x["m"].isNotNull()), none, step)["spans"]
+
+
+def personal_spans(text: Column) -> Column:
+    """ARRAY<STRUCT<type, start, end, match, confidence>> in order of place, places counted from 0, ends excluded.
+
+    A match with its start or end in a span of a type that goes before isn't taken. Null texts have none.
+    """
+    empty = F.array().cast(f"array<{_SPAN}>")
+    # most texts hold nothing: one test each keeps them from the rest
+    parts = [F.when(text.rlike(pattern), _spans_of(text, kind, pattern, confidence)).otherwise(empty) for kind, pattern, confidence in PERSONAL]
+    inside = lambda t, s: ((t["start"] <= s["start"]) & (s["start"] < t["end"])) | ((t["start"] < s["end"]) & (s["end"] <= t["end"]))
+    taken = F.aggregate(F.concat(*parts), empty, lambda acc, s: F.when(F.exists(acc, lambda t: inside(t, s)), acc).otherwise(F.concat(acc, F.array(s))))
+    by_start = F.array_sort(F.transform(taken, lambda s: F.struct(s["start"].alias("at"), s.alias("s"))))
+    return F.coalesce(F.transform(by_start, lambda x: x["s"]), empty)
+
+
+def checked(text: Column, mode: str = "warn", mark: str = "[REDACTED]") -> Column:
+    """STRUCT<has_pii, findings, text, blocked>: `warn` leaves the text, `redact` marks its spans, `block` refuses it.
+
+    A span within a wider one of a later type gets no mark of its own.
+    """
+    if mode not in ("warn", "redact", "block"):
+        raise ValueError(f"no such mode: {mode}")
+
+    def judged(spans: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        cut = F.aggregate(
+            spans, start,
+            lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
+                F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))
+            ),
+        )
+        marked = let(cut, lambda c: F.concat(c["out"], F.substring(text, c["at"] + 1, F.length(text))))
+        found = F.size(spans) > 0
+        return F.struct(
+            found.alias("has_pii"), F.transform(spans, lambda s: s["type"]).alias("findings"), (F.when(found, marked).otherwise(text) if mode == "redact" else text).alias("text"),
+            (found if mode == "block" else F.lit(False)).alias("blocked"),
+        )
+
+    return let(personal_spans(text), judged)
+
+
 def has_secret(text: Column) -> Column:
     found = F.lit(False)
     for pattern in SECRETS:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.privacy import pattern_redacted, tier, write_action
 from lodestrata.functions.text import record_id, sanitized
+from lodestrata.operators.similar import most_similar
 from lodestrata.sources.tables import latest
 
 
@@ -100,3 +101,15 @@ def recalled(stored: DataFrame, facts: DataFrame) -> DataFrame:
     ids = facts.select(F.col("id").alias("_id")).distinct()
     own = stored.withColumn("_own", record_id(F.col("content")))
     return own.join(ids, F.col("_own") == F.col("_id"), "left").withColumn("found", F.col("_id").isNotNull()).drop("_own", "_id")
+
+
+def merged(facts: DataFrame, incoming: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(id, kept_id, how): what becomes of each incoming fact (id, content): `update` of the fact of its id, else
+    `merge` into the most similar one, which keeps its id, else `insert`. Facts without words are never merged.
+    """
+    new = incoming.select("id", "content").distinct()
+    known = facts.select("id").distinct().withColumn("_known", F.lit(True))
+    marked = new.join(known, "id", "left")
+    like = most_similar(marked.where("_known IS NULL"), facts, "id", F.col("content"), threshold).select("id", "match_id").groupBy("id").agg(F.min("match_id").alias("match_id"))
+    how = F.when(F.col("_known"), "update").when(F.col("match_id").isNotNull(), "merge").otherwise("insert")
+    return marked.join(like, "id", "left").select("id", F.coalesce("match_id", "id").alias("kept_id"), how.alias("how"))

@@ -110,6 +110,16 @@ def induced(nodes: DataFrame, edges: DataFrame, id_col: str = "note_id") -> Data
     return edges.join(ids, edges["source_id"] == ids["_id"], "left_semi").join(ids, edges["target_id"] == ids["_id"], "left_semi")
 
 
+def shown(domain: str | None = None, least: float | None = None, terms: str = "") -> Column:
+    """A viewer's filter of nodes (domain, importance, tags as one text): what isn't given doesn't filter.
+
+    All terms, parted by blanks or commas, must stand in the tags, letter case aside. A missing importance is 0.
+    """
+    tags = F.lower(F.coalesce("tags", F.lit("")))
+    wanted = [F.contains(tags, F.lit(t)) for t in terms.lower().replace(",", " ").split()]
+    return all_of(F.col("domain") == domain if domain else None, F.coalesce("importance", F.lit(0.0)) >= least if least else None, *wanted)
+
+
 def active(until: Column) -> Column:
     """Whether a statement has no end."""
     return until.isNull() | (until == "")

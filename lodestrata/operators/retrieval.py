@@ -30,6 +30,8 @@ def snippet(text: Column, term: str, radius: int = 60) -> Column:
     return F.when(at > 0, F.substring(text, F.greatest(at - radius, F.lit(1)), F.lit(2 * radius + len(term)))).otherwise(F.substring(text, 1, 2 * radius))
 
 
-def rendered(content: Column, score: Column, width: int = 300) -> Column:
-    """A line of a context block."""
-    return F.format_string("- %s (%.2f)", F.substring(content, 1, width), score)
+def rendered(key: Column, content: Column, score: Column, width: int = 300) -> Column:
+    """A line of a context block; null contents are empty."""
+    text = F.coalesce(content, F.lit(""))
+    cut = F.concat(F.substring(text, 1, width), F.when(F.length(text) > width, "...").otherwise(""))
+    return F.concat(F.format_string("- [%s] %s", key, cut), F.when(score > 0, F.format_string(" [score:%.2f]", score)).otherwise(""))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import general, links, lists, records, search, streams, texts
+from lodestrata.plans import general, links, lists, records, search, streams, texts, views
 
-MODULES = (general, records.Q, links.Q, texts.Q, search.Q, streams.Q, lists.Q)
+MODULES = (general, records.Q, links.Q, texts.Q, search.Q, streams.Q, lists.Q, views.Q)
 
 
 def queries() -> dict:

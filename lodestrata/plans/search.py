@@ -18,7 +18,7 @@ Q = Queries()
 #: The words the single-query searches ask for.
 TERMS = ["prompt", "router", "session"]
 
-_BM25 = """, d AS (SELECT id, CAST(len(w) AS DOUBLE) AS dl, {tf} FROM (SELECT id, list_filter(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM f WHERE content IS NOT NULL)),
+BM25_SQL = """, d AS (SELECT id, CAST(len(w) AS DOUBLE) AS dl, {tf} FROM (SELECT id, list_filter(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM f WHERE content IS NOT NULL)),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl, {df} FROM d),
 b AS (SELECT id, {score} AS score FROM d, st WHERE {hit})""".format(
     tf=", ".join(f"CAST(len(list_filter(w, lambda x: x = '{t}')) AS DOUBLE) AS tf{i}" for i, t in enumerate(TERMS)),
@@ -31,14 +31,14 @@ b AS (SELECT id, {score} AS score FROM d, st WHERE {hit})""".format(
 )
 
 
-@Q.add(_BM25 + " SELECT id, round(score, 6) AS score FROM b ORDER BY round(score, 6) DESC, id LIMIT 50", "f")
+@Q.add(BM25_SQL + " SELECT id, round(score, 6) AS score FROM b ORDER BY round(score, 6) DESC, id LIMIT 50", "f")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     hits = lexical.bm25(facts(spark, sf, "content").where("content IS NOT NULL"), "id", F.col("content"), TERMS)
     return hits.select(F.col("doc").alias("id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
 
 
 @Q.add(
-    _BM25
+    BM25_SQL
     + f""", c AS (SELECT id, round(score, 6) AS score FROM b ORDER BY round(score, 6) DESC, id LIMIT 40),
 r AS (SELECT c.id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END
  * coalesce(exp(-ln(2) / 30 * greatest(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_accessed), 0) / 86400000000.0), 1.0) * (1 + 0.1 * least(coalesce(access_count, 0), 10)) AS s FROM c JOIN f USING (id))
@@ -128,7 +128,7 @@ def vector_centre(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @Q.add(
-    _BM25
+    BM25_SQL
     + f""", {_CENTRE}, l AS (SELECT id, round(score, 6) AS score FROM b ORDER BY round(score, 6) DESC, id LIMIT 100),
 s AS (SELECT fid AS id, round(list_cosine_similarity(e, q), 5) AS score FROM vv, c ORDER BY round(list_cosine_similarity(e, q), 5) DESC, fid LIMIT 100)
 SELECT coalesce(l.id, s.id) AS id, round(coalesce(l.score / (SELECT max(score) FROM l), 0.0) * 0.6 + coalesce(s.score / (SELECT max(score) FROM s), 0.0) * 0.4, 4) AS score FROM l FULL OUTER JOIN s ON s.id = l.id""",
@@ -185,7 +185,7 @@ def top_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @Q.add(
-    _BM25
+    BM25_SQL
     + f""", {_CENTRE}, l AS (SELECT id, round(score, 6) AS score FROM b ORDER BY round(score, 6) DESC, id LIMIT 40)
 SELECT l.id, round(coalesce(list_cosine_similarity(e, q), 0.0), 5) AS score, CAST(row_number() OVER (ORDER BY round(coalesce(list_cosine_similarity(e, q), 0.0), 5) DESC, l.id) AS INTEGER) AS rank FROM l CROSS JOIN c LEFT JOIN vv ON vv.fid = l.id""",
     "fv",

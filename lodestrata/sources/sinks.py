@@ -70,6 +70,7 @@ def decrypted(df: DataFrame, columns: list[str], key: bytes) -> DataFrame:
     return df.withColumns({c: F.aes_decrypt(F.unbase64(F.col(c)), F.unhex(F.lit(key.hex())), F.lit("GCM")).cast("string") for c in columns})
 
 
-def keep_last(snapshots: DataFrame, by: str, at: str, n: int = 7) -> DataFrame:
-    """The newest `n` snapshots of each kind."""
-    return snapshots.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(F.desc(at)))).where(F.col("_n") <= n).drop("_n")
+def keep_last(snapshots: DataFrame, by: str, at: str, n: int = 7, tie: str | None = None) -> DataFrame:
+    """The newest `n` snapshots of each kind; of one time those with the largest `tie`."""
+    order = [F.desc_nulls_last(c) for c in (at, tie) if c]
+    return snapshots.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")

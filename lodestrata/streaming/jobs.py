@@ -62,6 +62,11 @@ def audit_counts(stream: DataFrame, width: str = "1 day") -> DataFrame:
     return counts.select("action", "ok", F.to_timestamp_ntz(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss")).alias("start"), "n")
 
 
+def gate_log(stream: DataFrame) -> DataFrame:
+    """(day, n, status): one line a day, FAIL if anything failed on it."""
+    return stream.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.when(F.bool_and("ok"), "OK").otherwise("FAIL").alias("status"))
+
+
 def captured_sessions(stream: DataFrame, gap: str = "13 hours") -> DataFrame:
     """(session_id, start, end, n): activity of each session, closed when nothing comes for `gap`."""
     s = stream.where("session_id <> '' AND NOT startswith(session_id, 'cron')").groupBy("session_id", F.session_window("ts", gap).alias("w"))
