@@ -3,8 +3,8 @@
 Dictionary-guided segmentation. The dictionary holds whole values that the data itself delimits beyond doubt: quoted
 spans, and fields without any delimiter. A multi-pattern automaton finds all known values in a text, and dynamic
 programming picks the cheapest cover of the text by quoted spans, known values, delimiters and unknown runs. A known
-value that contains a delimiter stays whole unless its parts are known values too. The dictionary is passed to the
-tasks in blocks of bounded size, one automaton each; more blocks mean more passes over the rows, no lost values.
+value that contains a delimiter stays whole unless its parts are known values too. The dictionary meets the texts in
+blocks of bounded size, one automaton each; more blocks mean more copies of the texts, no lost values.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lodestrata.session import ensure_checkpoint_dir
 
 #: Fixed: what separates two values. A blank before '#' does so too.
 DELIMITERS = ",;|\n\r\t\u3001\uff0c\uff1b"
@@ -26,6 +26,8 @@ _HASH = re.compile(r"\s+(?=#)")
 _BLANK = " \u00a0\u2009\u200b\ufeff"
 #: Cost of covering a part: a known whole of k parts beats k parts that aren't all known, not k known ones.
 _COST_KNOWN, _COST_UNKNOWN = 1.0, 2.5
+#: Least size of the texts that one task splits.
+SHARD_BYTES = 500_000
 
 
 def _enclosed(text: str) -> tuple[int, int]:
@@ -157,66 +159,71 @@ def known_values(texts: DataFrame, column: str, min_count: int = 3) -> DataFrame
     return found.where("trim(value) <> ''").groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
 
 
-def _blocks(values: DataFrame, max_bytes: int) -> Iterator[list[str]]:
-    """The dictionary in blocks of bounded size."""
-    block, size = [], 0
-    for row in values.select("value").orderBy("value").toLocalIterator():
-        if block and size + len(row.value) > max_bytes:
-            yield block
-            block, size = [], 0
-        block.append(row.value)
-        size += len(row.value)
-    yield block
-
-
 def split_values(df: DataFrame, keys: list[str], column: str, min_count: int = 3, max_block_bytes: int = 8_000_000) -> DataFrame:
     """One row per value (keys..., pos, tag): pos counts from 1 in the order written.
 
     Repeated values stay; empty ones take no position. Null and empty fields give no rows, as does an empty table.
     A delimiter in quotation marks belongs to the value, as does a quotation mark doubled or escaped in them.
     Enclosing brackets, list marks, a leading # and outer blanks don't belong to it. Other columns are ignored.
+
+    Each distinct text is split once. Blocks of the dictionary, `max_block_bytes` each, meet shards of the texts, at
+    least four times as large as a block and so larger than what is copied for them, in tasks of their own.
     """
     names = [f"k{i}" for i in range(len(keys))]
-    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(column).alias("text")).where("text IS NOT NULL")
-    schema = rows.schema
-    rows = rows.withColumn("hits", F.array().cast("array<int>"))
-    for block in _blocks(known_values(rows, "text", min_count), max_block_bytes):
-        rows = rows.mapInPandas(_find(block), rows.schema)
-    out = rows.mapInPandas(_cover(names), T.StructType([*schema.fields[: len(names)], T.StructField("pos", T.LongType()), T.StructField("tag", T.StringType())]))
-    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "pos", "tag")
-
-
-def _find(words: list[str]):
-    """One pass: adds start and end of the block's known values to `hits`."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for w in words:
-            automaton.add_word(w, len(w))
-        if words:
-            automaton.make_automaton()
-        for pdf in batches:
-            if words:
-                pdf["hits"] = [
-                    [*hits, *(x for end, k in automaton.iter(text) for x in (end + 1 - k, end + 1))]
-                    for text, hits in zip(pdf["text"], pdf["hits"])
-                ]
-            yield pdf
-
-    return run
-
-
-def _cover(names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [
-                segments(text, list(zip(hits[::2], hits[1::2]))) for text, hits in zip(pdf["text"], pdf["hits"])
-            ]
-            out = pdf[names].iloc[[i for i, x in enumerate(found) for _ in x]].reset_index(drop=True)
-            out["pos"] = np.array([n for x in found for n in range(1, len(x) + 1)], np.int64)
-            out["tag"] = pd.Series([v for x in found for v in x], dtype=object)
-            yield out
-
-    return run
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(column).alias("text")).where("text <> ''")
+    ensure_checkpoint_dir(df.sparkSession)
+    # read for its size and again in the search
+    known = known_values(rows, "text", min_count).select("value").checkpoint()
+    texts = rows.select("text").distinct()
+    size = lambda d, c: d.agg(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias("n"))
+    bytes_known, bytes_texts = (size(d, c).first().n for d, c in ((known, "value"), (rows, "text")))
+    blocks = -(-bytes_known // max_block_bytes) or 1
+    shards = -(-bytes_texts // max(SHARD_BYTES, 4 * bytes_known // blocks)) or 1
+
+    def part(name: str, by: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(by), F.lit(n).cast("bigint")).alias(name)
+
+    def each(name: str, n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias(name)
+
+    left = texts.select("text", part("shard", "text", shards)).select("*", each("block", blocks)).groupBy("block", "shard")
+    right = known.select("value", part("block", "value", blocks)).select("*", each("shard", shards)).groupBy("block", "shard")
+    if blocks == 1:
+        split = left.cogroup(right).applyInPandas(_split, "text string, tags array<string>")
+    else:
+        found = left.cogroup(right).applyInPandas(_find, "text string, hits array<int>")
+        split = found.groupBy("text").agg(F.flatten(F.collect_list("hits")).alias("hits")).mapInPandas(_cover, "text string, tags array<string>")
+    # one row a text on this side: where a text is hot, its rows are parted among tasks
+    out = rows.join(split, "text").select(*names, F.posexplode("tags").alias("pos", "tag"))
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], (F.col("pos") + 1).cast("bigint").alias("pos"), "tag")
+
+
+def _hits(texts: pd.Series, words: pd.Series) -> list[list[int]]:
+    """Starts and ends of the known values in each text."""
+    import ahocorasick
+
+    if words.empty:
+        return [[] for _ in texts]
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        automaton.add_word(w, len(w))
+    automaton.make_automaton()
+    return [[x for end, k in automaton.iter(text) for x in (end + 1 - k, end + 1)] for text in texts]
+
+
+def _values(text: str, hits: list[int]) -> list[str]:
+    return segments(text, sorted(zip(hits[::2], hits[1::2]), key=lambda h: (h[1], h[0])))
+
+
+def _find(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"text": texts["text"], "hits": pd.Series(_hits(texts["text"], words["value"]), texts.index, object)})
+
+
+def _split(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    values = [_values(t, h) for t, h in zip(texts["text"], _hits(texts["text"], words["value"]))]
+    return pd.DataFrame({"text": texts["text"], "tags": pd.Series(values, texts.index, object)})
+
+
+def _cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"text": pdf["text"], "tags": pd.Series([_values(t, h) for t, h in zip(pdf["text"], pdf["hits"])], pdf.index, object)})
