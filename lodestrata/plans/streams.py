@@ -48,6 +48,15 @@ def stream_injected_facts(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.run_available(jobs.to_inject(stream))
 
 
+@Q.add()
+def stream_injected_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a session's facts of one month as a turn; a turn without a fresh fact repeats the two injected
+    longest ago."""
+    stream = jobs.follow(spark, sf, "audit_log", "id", "ts", "session_id", "fact_id").where("session_id <> '' AND fact_id <> '' AND ts IS NOT NULL")
+    stream = jobs.once(stream, "ts").select("session_id", F.lower(F.trim("fact_id")).alias("fact_id"), F.date_trunc("month", "ts").alias("at"), "id")
+    return jobs.run_available(jobs.to_inject(stream, together=True, repeats=2))
+
+
 @Q.add()
 def stream_preferences(spark: SparkSession, sf: str) -> DataFrame:
     """Preferences in arriving facts, each once, without those already stored."""

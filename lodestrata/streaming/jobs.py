@@ -75,23 +75,26 @@ def captured_sessions(stream: DataFrame, gap: str = "13 hours") -> DataFrame:
     return counts.select("session_id", as_ntz("w.start").alias("start"), as_ntz("w.end").alias("end"), "n")
 
 
-def to_inject(stream: DataFrame, window: int = 5) -> DataFrame:
+def to_inject(stream: DataFrame, window: int = 5, together: bool = False, repeats: int = 0) -> DataFrame:
     """(session_id, fact_id, turn) of the facts to inject: not again within `window` turns of the last injection.
 
     stream: session_id, fact_id, at, id. A session's turns are counted from 1 as its rows come, those that come
     together in order of `at` and `id`. Its state is the number of turns and the last injection of each fact, which is
-    dropped after `window` turns, so it stays small however long a session gets.
+    dropped after `window` turns, so it stays small however long a session gets. With `together`, rows of one `at` that
+    come in one trigger are one turn; if all facts of a turn were injected lately, the `repeats` longest ago come again.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         turn, last = (state.get[0], json.loads(state.get[1])) if state.exists else (0, {})
         out = []
-        for fact in pd.concat(list(batches)).sort_values(["at", "id"], kind="stable")["fact_id"]:
+        rows = pd.concat(list(batches)).sort_values(["at", "id"], kind="stable")
+        for _, facts in rows.groupby(rows["at"] if together else list(range(len(rows))), sort=False)["fact_id"]:
             turn += 1
-            if fact not in last or turn - last[fact] > window:
-                out.append((key[0], fact, turn))
-                last[fact] = turn
-                last = {f: t for f, t in last.items() if turn - t <= window}
+            facts = list(dict.fromkeys(facts))
+            chosen = [f for f in facts if f not in last or turn - last[f] > window]
+            chosen = chosen or sorted(facts, key=lambda f: last[f])[:repeats]
+            out += [(key[0], f, turn) for f in chosen]
+            last = {f: t for f, t in (last | dict.fromkeys(chosen, turn)).items() if turn - t <= window}
         state.update((turn, json.dumps(last)))
         if out:
             yield pd.DataFrame(out, columns=["session_id", "fact_id", "turn"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import random
 import re
@@ -170,3 +171,25 @@ def test_runs_and_snapshots(spark, tmp_path):
     snap = vault.read_snapshot(spark, str(tmp_path / "snap.json"), "id string, props map<string, string>")
     assert sorted((r.id, r.props) for r in snap.collect()) == [("1", {"a": "x"}), ("2", None)]
     assert snap.select(tx.flattened(F.col("props")).alias("t")).where("t IS NOT NULL").count() >= 1
+
+
+def test_turns_without_a_fresh_fact_repeat_two(spark, tmp_path):
+    from lodestrata.plans.streams import stream_injected_turns
+
+    rng = random.Random(4)
+    rows = [(i, f"s{rng.randrange(2)}", f"f{rng.randrange(5)}", dt.datetime(2024 + i % 2, 1 + rng.randrange(12), 3)) for i in range(150)]
+    spark.createDataFrame(rows, "id bigint, session_id string, fact_id string, ts timestamp_ntz").write.parquet(f"{tmp_path}/audit_log.parquet")
+    want, repeated = [], 0
+    for s in ("s0", "s1"):
+        months, last = {}, {}
+        for i, own, fact, at in sorted(rows):
+            if own == s:
+                months.setdefault((at.year, at.month), []).append(fact)
+        for turn, m in enumerate(sorted(months), 1):
+            given = list(dict.fromkeys(months[m]))
+            fresh = [f for f in given if turn - last.get(f, -99) > 5]
+            repeated += not fresh
+            for f in fresh or sorted(given, key=last.get)[:2]:
+                last[f] = turn
+                want.append((s, f, turn))
+    assert sorted(map(tuple, stream_injected_turns(spark, str(tmp_path)).collect())) == sorted(want) and repeated
