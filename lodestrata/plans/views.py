@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import notes as nt
@@ -12,7 +11,7 @@ from lodestrata.operators import changes, dictionary, graph, lexical, retrieval,
 from lodestrata.plans.base import AS_OF, Queries, audit, edges, episodes, facts, notes, triples
 from lodestrata.plans.search import BM25_SQL, TERMS
 from lodestrata.sources.sinks import keep_last
-from lodestrata.sources.tables import first_per, table
+from lodestrata.sources.tables import first_per
 from lodestrata.streaming import jobs
 
 Q = Queries()
