@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import lexical
+from lodestrata.operators import lexical, similar
 
 
 def shuffled(spark, df):
@@ -48,3 +48,16 @@ def test_bm25_batch_shuffles_no_pairs_of_query_and_document(spark):
     assert {tuple(r) for r in rows} == expect and len(rows) == len(expect)
     # 400,000 pairs
     assert size < 1_000_000
+
+
+def test_near_duplicates_shuffle_no_pairs(spark):
+    texts = [(f"r{i:04}", f"reminder {10_000 + i} the nightly export needs a stale review before sunday") for i in range(1500)]
+    texts += [("s1", "reminder the nightly export needs a stale review before sunday"), ("s2", "reminder 10007 the nightly export needs a stale review before monday"), ("t", "something else")]
+    rows, size = shuffled(spark, similar.near_duplicates(spark.createDataFrame(texts, "id string, t string"), "id", F.col("t")))
+    got = {r.id: (r.class_id, r.links) for r in rows}
+    sets = {i: frozenset(t.split()) for i, t in texts}
+    for i in ("r0000", "r0007", "r0008", "s1", "s2", "t"):
+        assert got[i] == (i, sum(len(sets[i] & o) / len(sets[i] | o) >= 0.8 - 1e-9 for j, o in sets.items() if j != i))
+    assert got["r0000"][1] >= 1499 and len(rows) == len(texts)
+    # 1,100,000 pairs
+    assert size < 3_000_000
