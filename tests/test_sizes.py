@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import lexical, similar
+from lodestrata.operators import graph, lexical, similar
 
 
 def shuffled(spark, df):
@@ -61,3 +61,15 @@ def test_near_duplicates_shuffle_no_pairs(spark):
     assert got["r0000"][1] >= 1499 and len(rows) == len(texts)
     # 1,100,000 pairs
     assert size < 3_000_000
+
+
+def test_shortest_paths_shuffle_the_graph_only(spark):
+    n = 1200
+    edges = spark.range(n).select(F.col("id").alias("s"), F.explode(F.array((F.col("id") * 7 + 1) % n, (F.col("id") * 11 + 3) % n, F.lit(0).cast("bigint"))).alias("t"))
+    edges = edges.select(F.concat(F.lit("node "), "s").alias("s"), F.concat(F.lit("node "), "t").alias("t"))
+    seeds = spark.range(300).select(F.concat(F.lit("node "), "id").alias("node")).unionByName(spark.createDataFrame([("far",)], "node string"))
+    rows, size = shuffled(spark, graph.shortest_paths(seeds, graph.both_ways(edges, "s", "t"), 4))
+    assert len(rows) == 300 * n + 1 and all(r.path[0] == r.seed and r.path[-1] == r.node and len(r.path) == r.hops + 1 for r in rows)
+    assert [(r.node, r.hops, r.path) for r in rows if r.seed == "far"] == [("far", 0, ["far"])]
+    # 360,000 rows
+    assert size < 2_000_000
