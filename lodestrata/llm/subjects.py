@@ -1,6 +1,6 @@
 """Subject areas of documents by distributed latent Dirichlet topic models.
 
-1. Topics of Spark's LDA (online variational Bayes) over a bounded, documented sample of all documents.
+1. Topics of Spark's LDA (online variational Bayes) over all documents.
 2. Each topic is mapped to subjects through its inspected top terms: how the labelled documents that hold a top term
    are spread over the subjects. Nothing else of the labels enters.
 3. A term is topical if its topics are of few subjects; a sentence without topical terms is about nothing.
@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 from lodestrata.functions.frames import frame
 from lodestrata.session import ensure_checkpoint_dir
 
-#: Documented bounds of what the model is fitted on: documents for the topics, labels for their map to subjects (both
-#: about so many, chosen by hash), and documents of the sample that a term of the model occurs in at least.
-SAMPLE_DOCS, SAMPLE_LABELS, MIN_DOCS = 10_000, 20_000, 5
-#: Topics for each subject (its languages and facets get their own), passes over the sample, share of it in a step.
+#: Documents that a term of the model occurs in at least.
+MIN_DOCS = 5
+#: Topics for each subject (its languages and facets get their own), passes over the documents, share of them in a step.
 TOPICS_PER_SUBJECT, PASSES, BATCH_SHARE = 5, 3.0, 0.1
 #: Topics whose top terms give no subject this share are fitted anew on their own terms, in so many rounds at most.
 PURE, ROUNDS = 0.9, 4
@@ -91,7 +90,7 @@ class SubjectModel:
         topical = (of_topic @ to_subject).max(1, initial=0.0) >= TOPICAL if len(names) and len(vocabulary) else np.zeros(len(vocabulary), bool)
         self.index = {w: i for i, w in enumerate(w for w, t in zip(vocabulary, topical) if t)}
         self.by_topic = (weights / np.maximum(weights.sum(0, keepdims=True), 1e-12))[topical].astype(np.float32)
-        # a topic that took little of the sample needs more to be believed in
+        # a topic that took little of the documents needs more to be believed in
         self.prior = (PRIOR * weights.shape[1] * weights.sum(0) / max(weights.sum(), 1e-12)).astype(np.float32)
         self.to_subject = to_subject.astype(np.float32)
 
@@ -146,19 +145,13 @@ def tidy(label: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(label)), r"[^\p{L}\p{N}]+", "_")
 
 
-def sampled(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
-    """About `rows` rows by the hash of their key, all of them if there are fewer: no sort, the same rows each time."""
-    share = min(1.0, rows / max(1, df.count()))
-    return df if share == 1.0 else df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(share * 1_000_000))
-
-
 def fit_subjects(documents: DataFrame, labels: DataFrame, names: list[str], seed: int = 11) -> SubjectModel:
     """documents: doc_id, text. labels: distinct doc_id, subject (one of `names`)."""
     k = TOPICS_PER_SUBJECT * len(names)
-    sample = sampled(documents, "doc_id", SAMPLE_DOCS, seed).select(terms(F.col("text")).alias("terms")).checkpoint()
-    if not names or sample.isEmpty():
+    corpus = documents.select(terms(F.col("text")).alias("terms")).checkpoint()
+    if not names or corpus.isEmpty():
         return SubjectModel(names, [], np.zeros((0, 0)), np.zeros((0, 0)))
-    counter = CountVectorizer(inputCol="terms", outputCol="features", minDF=float(MIN_DOCS), vocabSize=1 << 20).fit(sample)
+    counter = CountVectorizer(inputCol="terms", outputCol="features", minDF=float(MIN_DOCS), vocabSize=(1 << 31) - 1).fit(corpus)
     tied, sizes = label_ties(documents, labels, names, counter.vocabulary)
     kept = ~spread_evenly(tied, sizes)
     vocabulary, tied = [w for w, x in zip(counter.vocabulary, kept) if x], tied[kept]
@@ -167,7 +160,7 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, names: list[str], seed
     weights, to_subject = np.zeros((len(vocabulary), 0)), np.zeros((0, len(names)))
     part = np.arange(len(vocabulary))
     for n in range(1, ROUNDS + 1):
-        vectors = CountVectorizerModel.from_vocabulary([vocabulary[i] for i in part], "terms", "features").transform(sample).select("features").persist()
+        vectors = CountVectorizerModel.from_vocabulary([vocabulary[i] for i in part], "terms", "features").transform(corpus).select("features").persist()
         lda = LDA(
             k=k, maxIter=max(1, round(PASSES / BATCH_SHARE)), subsamplingRate=BATCH_SHARE, optimizer="online", seed=seed + n,
             docConcentration=[0.2] * k, topicConcentration=0.01, learningOffset=32.0,
@@ -191,10 +184,9 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, names: list[str], seed
 def label_ties(documents: DataFrame, labels: DataFrame, names: list[str], vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Labelled documents of each subject that hold each term, and labelled documents of each subject."""
     words = documents.sparkSession.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
-    few = sampled(labels, "doc_id", SAMPLE_LABELS, 0)
-    held = documents.join(F.broadcast(few), "doc_id").select("subject", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    held = documents.join(labels, "doc_id").select("subject", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     counts = held.join(words, "term").groupBy("i", "subject").count().toPandas()
-    sizes = few.groupBy("subject").count().toPandas().set_index("subject")["count"].reindex(names).fillna(0).to_numpy(float)
+    sizes = labels.groupBy("subject").count().toPandas().set_index("subject")["count"].reindex(names).fillna(0).to_numpy(float)
     tied = np.zeros((len(vocabulary), len(names)))
     tied[counts["i"], counts["subject"].map(names.index)] = counts["count"]
     return tied, np.maximum(sizes, 1.0)
