@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lodestrata.operators import graph, lexical, similar
@@ -73,3 +75,22 @@ def test_shortest_paths_shuffle_the_graph_only(spark):
     assert [(r.node, r.hops, r.path) for r in rows if r.seed == "far"] == [("far", 0, ["far"])]
     # 360,000 rows
     assert size < 2_000_000
+
+
+def test_shortest_paths_shuffle_no_copy_of_the_graph_for_each_block(spark):
+    n = 1200
+    edges = spark.range(n).select(F.col("id").alias("s"), F.explode(F.array((F.col("id") * 7 + 1) % n, F.lit(0).cast("bigint"))).alias("t"))
+    found = graph.shortest_paths(spark.range(300).select(F.col("id").alias("node")), graph.both_ways(edges, "s", "t"), 2, block=4)
+    rows, size = shuffled(spark, found)
+    assert len({(r.seed, r.node) for r in rows}) == len(rows) == 300 * n
+    # 75 blocks
+    assert size < 50_000
+
+
+def test_shortest_paths_in_batches_of_few_rows(tmp_path):
+    near = [[1, 2], [0, 2, 3], [0, 1, 4], [1, 5], [2, 5], [3, 4], []]
+    pq.write_table(pa.table({"rank": [i * 10 for i in range(7)], "node": list("abcdefg"), "to": [[j * 10 for j in x] or None for x in near]}), f"{tmp_path}/part.parquet")
+    seeds = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64())], names=["rank"]) for x in ([0, 60], [], [30])]
+    few, all_rows = ([b.to_pylist() for b in graph._walker(str(tmp_path), 4, k)(iter(seeds))] for k in (2, 100))
+    assert max(map(len, few)) == 2 and sum(few, []) == sum(all_rows, []) and len(sum(few, [])) == 13
+    assert {"seed": "a", "node": "f", "hops": 3, "path": list("abdf")} in sum(few, [])
